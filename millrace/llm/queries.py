@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import decontamination, exact_dedup, mixing, token_output
+from millrace.llm import decontamination, exact_dedup, html_text, mixing, quality, secrets, token_output
 from millrace.llm.common import Query, read
 
 EXACT_DEDUP = """
@@ -14,6 +14,10 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 """
 
 
+def op1_html_text(spark, sf_dir):
+    return html_text.html_text(read(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_token_output(spark, sf_dir):
     return token_output.token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,6 +38,10 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
