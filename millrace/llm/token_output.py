@@ -19,7 +19,7 @@ from millrace.llm import common as C
 MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC1", 8, 512
 #: A file is closed after this many ids; a document is never split.
 FILE_IDS = 8_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 END_ID = 1
 
 
@@ -119,23 +119,64 @@ def read_file(path: str) -> tuple[np.ndarray, np.ndarray, DirectCodes]:
     return np.frombuffer(data, "<i8", n, 12), np.frombuffer(data, "<u8", n, 12 + 8 * n), DirectCodes.unpack(data[12 + 16 * n :])
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Words(dict):
-    """White-space delimited bytes to their ids as little-endian uint32: this tokenizer never joins across white space."""
+    """White-space delimited bytes to their ids as little-endian uint32: this tokenizer never joins across white space.
+
+    A run of letters before U+0130 is one piece for the vocabulary's model, whatever ASCII symbols but an apostrophe
+    follow it; such words skip normalizing and splitting, and share what their letters and their symbols were coded as.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+
+    def letters(self, s: str) -> bytes:
+        piece = s.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+        found = self.model.tokenize(piece)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        hard: list[bytes] = []
+        after: list[tuple[bytes, bytes, bytes]] = []
+        for w in words.difference(self):
+            s = w.decode("utf-8", "replace")
+            core = s.rstrip(SYMBOLS)
+            if core and core.isalpha() and max(core) < "\u0130":
+                if len(core) == len(s):
+                    self[w] = self.letters(core)
+                else:
+                    c, tail = core.encode(), s[len(core) :].encode()
+                    if c not in self:
+                        self[c] = self.letters(core)
+                    if tail not in self:
+                        hard.append(tail)
+                        self[tail] = b""
+                    after.append((w, c, tail))
+            else:
+                hard.append(w)
+        for at in range(0, len(hard), 4096):
+            some = hard[at : at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                i = e.ids
+                self[w] = struct.pack(f"<{len(i)}I", *i)
+        for w, c, tail in after:
+            self[w] = self[c] + self[tail]
 
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """A batch of texts.  A-Z are lower-cased first, as the tokenizer does, but where a special token may stand."""
