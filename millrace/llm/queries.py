@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import decontamination, exact_dedup, html_text, mixing, quality, secrets, substring_dedup, token_output
+from millrace.llm import decontamination, exact_dedup, html_text, jaccard_join, mixing, quality, secrets, substring_dedup, token_output
 from millrace.llm.common import Query, read
 
 EXACT_DEDUP = """
@@ -18,6 +18,10 @@ def op1_html_text(spark, sf_dir):
     return html_text.html_text(read(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
@@ -51,4 +55,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_exact_dedup": EXACT_DEDUP}
+    return {"op3_jaccard_join": jaccard_join.ORACLE, "op4_substring_dedup": substring_dedup.ORACLE, "op5_mixing": mixing.ORACLE, "op6_decontamination": decontamination.ORACLE, "op9_exact_dedup": EXACT_DEDUP}
