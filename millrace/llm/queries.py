@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import decontamination, exact_dedup, html_text, jaccard_join, mixing, quality, secrets, substring_dedup, token_output
+from millrace.llm import decontamination, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, secrets, substring_dedup, token_output
 from millrace.llm.common import Query, read
 
 EXACT_DEDUP = """
@@ -18,6 +18,10 @@ def op1_html_text(spark, sf_dir):
     return html_text.html_text(read(spark, sf_dir, "pages"))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm_score.lm_score(read(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
 

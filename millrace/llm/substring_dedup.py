@@ -127,7 +127,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                     held = 0
         yield from out()
 
-    packed = slim.join(own, ["k", "h"]).select("k", "h", "text", "shared").mapInArrow(pack, "m long, salt long, words binary, k long, h long, start long, stop long, done int")
+    # The same columns as in the last join, so that both read one exchange of the texts.
+    packed = slim.join(own, ["k", "h"]).select("k", "h", "text", "shared", "doc_id").mapInArrow(pack, "m long, salt long, words binary, k long, h long, start long, stop long, done int")
 
     def count(it):
         schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
