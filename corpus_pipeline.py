@@ -1,11 +1,68 @@
-"""The corpus pipeline; its stages are filled in with the operators."""
+"""The corpus pipeline: classify, join near duplicates, decontaminate, mix, write token ids."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontamination, jaccard_join, mixing, quality, token_output
+from millrace.llm.common import materialize, read
+
+
+def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is in ids, with their own columns; a null id meets a null id.
+
+    Both sides shuffle by id: neither is known to be small.
+    """
+    named = ids.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(named.hint("merge"), docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects, as poor or toxic, go.  Rows that repeat an id stand or fall together."""
+    return _restrict(docs, quality.classify(docs, read(spark, sf_dir, "labels")).where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that similarity links connect, the one with the least id stays; those without shingles all stay."""
+    joined = jaccard_join.jaccard_join(docs)
+    return _restrict(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return _restrict(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, at most three times."""
+    taken = materialize(mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__n")), "pipeline-copies")
+    placed = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]))
+    return placed.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in directly addressable files; a row per document written, repeats too."""
+    return token_output.token_output(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_sources),
+    ("token-ID / binary output", token_ids),
+]
+
+#: A fitted classifier and a tokenizer aren't SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        docs = f(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{k}")
     return docs
