@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
+from collections.abc import Iterable
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -55,33 +57,47 @@ class DocumentModel:
         return np.stack([np.searchsorted(e, shapes[:, k], side="right") + k * (BINS + 1) for k, e in enumerate(edges)], 1)
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: np.ndarray) -> DocumentModel:
-        """labels: a column for each head, 0 or 1.  Word choice and weights come from these rows alone."""
+    def fit(cls, texts: Iterable[bytes], labels: np.ndarray | list[np.ndarray]) -> DocumentModel:
+        """labels: a column for each head, 0 or 1; or a list of such arrays that grows as the texts are read.  Word choice and weights come from these rows alone.
+
+        A text is held no longer than it takes to number its words.
+        """
         shapes, sets = [], []
+        number: dict[bytes, int] = {}
         for x in texts:
             s, w = cls.look(x)
             shapes.append(s)
-            sets.append(w)
+            sets.append(np.fromiter((number.setdefault(v, len(number)) for v in w), np.int32, len(w)))
         shapes = np.array(shapes, np.float64)
+        names = list(number)
+        labels = np.concatenate(labels) if isinstance(labels, list) else labels
         edges = [np.unique(np.quantile(shapes[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(shapes.shape[1])]
         chosen: dict[bytes, int] = {}
-        n = len(texts)
-        every = Counter(w for s in sets for w in s)
+        n = len(shapes)
+        count = lambda rows: np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=len(names))
+        every = count(sets)
         for h in range(labels.shape[1]):
-            yes = Counter(w for s, y in zip(sets, labels[:, h]) if y for w in s)
+            yes = count([s for s, y in zip(sets, labels[:, h]) if y])
             m = labels[:, h].sum()
             if 0 < m < n:
                 p = m / n
-                z = {w: abs(yes[w] - c * p) / math.sqrt(c * p * (1 - p) * (1 - c / (n + 1))) for w, c in every.items() if c >= MIN_DOCS}
-                for w in sorted((w for w in z if z[w] >= LEAST_Z), key=lambda w: (-z[w], w))[: WORDS // labels.shape[1]]:
+                often = np.flatnonzero(every >= MIN_DOCS)
+                c = every[often]
+                z = np.abs(yes[often] - c * p) / np.sqrt(c * p * (1 - p) * (1 - c / (n + 1)))
+                far = sorted((-float(v), names[k]) for v, k in zip(z, often.tolist()) if v >= LEAST_Z)
+                for _, w in far[: WORDS // labels.shape[1]]:
                     chosen.setdefault(w, len(chosen))
         base = len(edges) * (BINS + 1)
         bins = cls.binned(edges, shapes)
         rows, cols = [np.repeat(np.arange(n), bins.shape[1])], [bins.ravel()]
+        column = np.full(len(names) + 1, -1)
+        for w, k in chosen.items():
+            column[number[w]] = base + k
         for i, s in enumerate(sets):
-            own = [base + chosen[w] for w in s & chosen.keys()]
+            own = column[s]
+            own = own[own >= 0]
             rows.append(np.full(len(own), i))
-            cols.append(np.array(own, np.int64))
+            cols.append(own)
         row, col = np.concatenate(rows), np.concatenate(cols)
         decay = np.r_[np.full(base, BIN_DECAY), np.full(len(chosen), WORD_DECAY)]
         weights, bias = np.zeros((labels.shape[1], base + len(chosen))), np.zeros(labels.shape[1])
@@ -126,12 +142,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DocumentMod
     known = C.materialize(known, "quality-labels")  # at most ``rows`` rows: bounded, so it is broadcast
 
     def train(it):
-        tx, ys = [], []
-        for b in it:
-            tx += C.texts(b.column(0))
-            ys.append(np.stack([b.column(k).to_numpy() for k in (1, 2)], 1))
-        if tx:
-            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(DocumentModel.fit(tx, np.concatenate(ys)))]})
+        ys = [np.zeros((0, 2))]
+
+        def stream():
+            for b in C.batches(it):
+                ys.append(np.stack([b.column(k).to_numpy() for k in (1, 2)], 1))
+                yield from C.texts(b.column(0))
+
+        first, rest = [], stream()
+        for x in rest:
+            first.append(x)
+            break
+        if first:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(DocumentModel.fit(chain(first, rest), ys))]})
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = slim.join(F.broadcast(known), "doc_id").select("text", *HEADS, "doc_id").repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
