@@ -24,7 +24,7 @@ from millrace.llm import common as C
 
 #: Words with an output and an input of their own; words whose counts are broadcast (20 bytes each); the rest join by shuffle.
 HEAD, BROADCAST_WORDS = 512, 262_144
-HIDDEN, CLASSES, STREAMS, WINDOW, CHUNK_WORDS = 16, 16, 512, 16, 2_500_000
+HIDDEN, CLASSES, STREAMS, WINDOW, CHUNK_WORDS = 16, 16, 384, 16, 4_500_000
 #: Training documents of the warm-up, at most; its passes; learning rates of the warm-up and the sweep.
 WARM_DOCS, WARM_STEPS, WARM_RATE, RATE = 1500, 150, 0.015, 0.004
 SMOOTH, SEED, END = 0.1, 5, b""
@@ -277,7 +277,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
             yield out()
 
     counts = C.materialize(train.mapInArrow(count, "w long, shape int, c long").groupBy("w").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")), "lm-counts")
-    top = counts.orderBy(F.col("c").desc(), "w").limit(broadcast_words).toPandas()  # bounded
+    # The least count whose words, with all more frequent ones, are within the bound: ties go in or stay out together.
+    least, size = None, 0
+    for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.col("c").desc()).toLocalIterator():
+        size += r["k"]
+        if size > broadcast_words:
+            break
+        least = r["c"]
+    top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "w"], ascending=[False, True])
     hashes, shapes, top_c = (np.array(top[k], np.int64) for k in ("w", "shape", "c"))
     n_head = min(head, len(hashes))
     by_shape = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
