@@ -1,7 +1,8 @@
 """LM scoring: a gated recurrent model in numpy with a class-factored softmax and state carried across windows.
 
 Frequent words have classes by frequency and a softmax within their class; all other words, unknown ones too, have
-classes by shape and their smoothed share of the class within it, so that the vocabulary can grow with the corpus.
+classes by shape and their smoothed share of the class within it.  A word is frequent from a count that grows with the
+square root of the training tokens, so the model's vocabulary grows with the corpus and has no fixed size.
 Counts come from every training document and so does the model: a short warm-up on a bounded sample finds the
 place from where each partition then runs truncated backpropagation over all its training documents; the partitions'
 parameters are averaged by tokens.  Every document is scored from its first to its last token.
@@ -10,6 +11,7 @@ parameters are averaged by tokens.  Every document is scored from its first to i
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections import Counter
 
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Words with an output and an input of their own; words whose counts are broadcast (20 bytes each); the rest join by shuffle.
-HEAD, BROADCAST_WORDS = 512, 262_144
-HIDDEN, CLASSES, STREAMS, WINDOW, CHUNK_WORDS = 16, 16, 384, 16, 4_500_000
+#: Words counted at least sqrt(training tokens) / HEAD_SHARE times have an output and an input of their own: HEAD_SHARE *
+#: sqrt(training tokens) words at most.
+HEAD_SHARE = 32
+#: Words whose counts are broadcast (20 bytes each), or all frequent ones if they are more; the rest join by shuffle.
+BROADCAST_WORDS = 262_144
+HIDDEN, STREAMS, WINDOW, CHUNK_WORDS = 16, 384, 16, 4_500_000
 #: Training documents of the warm-up, at most; its passes; learning rates of the warm-up and the sweep.
 WARM_DOCS, WARM_STEPS, WARM_RATE, RATE = 1500, 150, 0.015, 0.004
 SMOOTH, SEED, END = 0.1, 5, b""
@@ -72,20 +77,27 @@ class Gru:
     def __init__(self, counts: np.ndarray, shape_counts: np.ndarray, seed: int = SEED):
         r = np.random.default_rng(seed)
         n, h = len(counts), HIDDEN
-        mass = np.cumsum(np.sqrt(counts)) / max(1e-9, np.sqrt(counts).sum())
-        self.word_class = np.minimum((mass * CLASSES - 1e-9).astype(np.int64), CLASSES - 1) if n else np.zeros(0, np.int64)
+        root = np.sqrt(counts)
+        mass = np.cumsum(root) / max(1e-9, root.sum())
+        # k classes of equal mass of roots cost k + root.sum() ** 2 / counts.sum() / k values a token: the least of it.
+        self.classes = k = max(1, round(float(root.sum() / np.sqrt(max(1e-9, counts.sum()))))) if n else 1
+        self.word_class = np.minimum((mass * k - 1e-9).astype(np.int64), k - 1) if n else np.zeros(0, np.int64)
         # Words are by falling count and classes by mass of them, so each class is one range of words.
-        self.starts = np.searchsorted(self.word_class, np.arange(CLASSES + 1))
-        classes = np.r_[np.bincount(self.word_class, counts, CLASSES), shape_counts] + 0.5
+        self.starts = np.searchsorted(self.word_class, np.arange(k + 1))
+        classes = np.r_[np.bincount(self.word_class, counts, k), shape_counts] + 0.5
         self.head = n
         self.p = {
             "x": (r.standard_normal((n + SHAPES + 1, 3 * h)) * 0.1).astype(np.float32), "u": (r.standard_normal((h, 3 * h)) / np.sqrt(h)).astype(np.float32),
-            "wc": np.zeros((h, CLASSES + SHAPES), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32),
-            "ww": np.zeros((h, n), np.float32), "bw": np.log(counts + 0.5).astype(np.float32),
+            "wc": np.zeros((h, k + SHAPES), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32),
+            "ww": np.zeros((n, h), np.float32), "bw": np.log(counts + 0.5).astype(np.float32),
         }
+        self.begin()
+
+    def begin(self) -> None:
+        """Before learning: moments, and how often each input was fed since."""
         self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t = 0
+        self.t, self.fed = 0, np.zeros(len(self.p["x"]), np.float32)
 
     def step(self, h: np.ndarray, x: np.ndarray):
         k = HIDDEN
@@ -96,8 +108,11 @@ class Gru:
         return n + z * (h - n), z, r, n, hn
 
     def output(self, h: np.ndarray, target: np.ndarray, learn: bool):
-        """Natural log probabilities of target words (ids as for input), and gradients of their negative mean."""
-        cls = np.where(target < self.head, self.word_class[np.minimum(target, max(0, self.head - 1))] if self.head else 0, CLASSES + target - self.head)
+        """Natural log probabilities of target words (ids as for input), and gradients of their negative mean.
+
+        A gradient is (rows, values): of the words only those whose class occurs.
+        """
+        cls = np.where(target < self.head, self.word_class[np.minimum(target, max(0, self.head - 1))] if self.head else 0, self.classes + target - self.head)
         logit = h @ self.p["wc"] + self.p["bc"]
         logit -= logit.max(1, keepdims=True)
         e = np.exp(logit)
@@ -109,17 +124,17 @@ class Gru:
             d = e / total
             d[at, cls] -= 1
             d /= len(h)
-            grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
+            grads = [("wc", slice(None), h.T @ d), ("bc", slice(None), d.sum(0))]
             dh = d @ self.p["wc"].T
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for c in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             a, z = int(self.starts[c]), int(self.starts[c + 1])
             own = order[cuts[c] : cuts[c + 1]]
-            if not len(own) or z - a < 2:
+            if z - a < 2:
                 continue
             hc = h[own]
-            w = hc @ self.p["ww"][:, a:z] + self.p["bw"][a:z]
+            w = hc @ self.p["ww"][a:z].T + self.p["bw"][a:z]
             w -= w.max(1, keepdims=True)
             we = np.exp(w)
             s = we.sum(1, keepdims=True)
@@ -130,18 +145,20 @@ class Gru:
                 d = we / s
                 d[k, t] -= 1
                 d /= len(h)
-                grads["ww"][:, a:z] = hc.T @ d
-                grads["bw"][a:z] = d.sum(0)
-                dh[own] += d @ self.p["ww"][:, a:z].T
+                grads += [("ww", slice(a, z), d.T @ hc), ("bw", slice(a, z), d.sum(0))]
+                dh[own] += d @ self.p["ww"][a:z]
         return (out, grads, dh) if learn else out
 
-    def update(self, grads: dict[str, np.ndarray], rate: float) -> None:
+    def update(self, grads: list[tuple], rate: float) -> None:
+        """Moves the rows that have gradients; the others, and their moments, stay."""
         self.t += 1
-        for k, g in grads.items():
+        for k, rows, g in grads:
             g = np.clip(g, -1, 1)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            m, v = self.m[k][rows], self.v[k][rows]
+            m = m + np.float32(0.1) * (g - m)
+            v = v + np.float32(0.01) * (g * g - v)
+            self.m[k][rows], self.v[k][rows] = m, v
+            self.p[k][rows] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
 
     def run(self, texts: list[np.ndarray], rate: float | None = None, most: int | None = None) -> np.ndarray:
         """Log probability of each text (ids with the end); with a rate, learns from each window after scoring it.
@@ -214,22 +231,21 @@ class Gru:
             order = np.argsort(words, kind="stable")
             words = words[order]
             cut = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-            gx = np.zeros_like(self.p["x"])
-            gx[words[cut]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], cut)
+            fed_words, gx = words[cut], np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], cut)
+            self.fed[fed_words] += np.diff(np.r_[cut, len(words)])
             # The last windows of the longest streams are few tokens: they move the model as little.
-            self.update(grads | {"x": gx, "u": du}, rate * live / len(streams))
+            self.update([*grads, ("x", fed_words, gx), ("u", slice(None), du)], rate * live / len(streams))
         return total
 
     def pack(self) -> bytes:
-        return pickle.dumps((self.head, self.word_class, self.starts, self.p))
+        return pickle.dumps((self.head, self.classes, self.word_class, self.starts, self.p, self.fed))
 
     @classmethod
     def unpack(cls, data: bytes) -> Gru:
         g = cls.__new__(cls)
-        g.head, g.word_class, g.starts, g.p = pickle.loads(data)
-        g.m = {k: np.zeros_like(v) for k, v in g.p.items()}
-        g.v = {k: np.zeros_like(v) for k, v in g.p.items()}
-        g.t = 0
+        g.head, g.classes, g.word_class, g.starts, g.p, fed = pickle.loads(data)
+        g.begin()
+        g.fed = fed
         return g
 
 
@@ -243,9 +259,10 @@ def _inputs(ids: np.ndarray, head: int, shapes: np.ndarray) -> np.ndarray:
     return out
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
+    The model's words are those frequent enough (HEAD_SHARE), or the ``head`` most frequent ones if that is given.
     A-Z are lower-cased; a text's tokens are its words and one end.  Documents whose crc32(doc_id as text) mod 10
     is 0 are held out from counts and model.  Null text counts as empty: its end only; a null id counts as held
     out; repeated rows count each; if nothing is left to learn from, both scores are those of an unknown token; an
@@ -277,18 +294,19 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
             yield out()
 
     counts = C.materialize(train.mapInArrow(count, "w long, shape int, c long").groupBy("w").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")), "lm-counts")
+    by_shape = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
+    vocabulary, tokens = sum(v for v, _ in by_shape.values()), sum(n for _, n in by_shape.values())
+    enough = math.sqrt(tokens) / HEAD_SHARE
     # The least count whose words, with all more frequent ones, are within the bound: ties go in or stay out together.
     least, size = None, 0
     for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.col("c").desc()).toLocalIterator():
         size += r["k"]
-        if size > broadcast_words:
+        if size > broadcast_words and (head is not None or r["c"] < enough):
             break
         least = r["c"]
     top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "w"], ascending=[False, True])
     hashes, shapes, top_c = (np.array(top[k], np.int64) for k in ("w", "shape", "c"))
-    n_head = min(head, len(hashes))
-    by_shape = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
-    vocabulary, tokens = sum(v for v, _ in by_shape.values()), sum(n for _, n in by_shape.values())
+    n_head = min(head, len(hashes)) if head is not None else int((top_c >= enough).sum())
     tail_v, tail_n = np.zeros(SHAPES), np.zeros(SHAPES)
     for s, (v, n) in by_shape.items():
         tail_v[s], tail_n[s] = v, n
@@ -306,6 +324,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         def run(it):
             h, s, _ = words.value
             ids, g, seen = Ids(h), Gru.unpack(model), 0
+            g.begin()
             held_texts: list[np.ndarray] = []
             for b in C.batches(it):
                 held_texts += [_inputs(x, n_head, s) for x in coded(ids, C.texts(b.column(0)))]
@@ -321,18 +340,21 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
 
         return run
 
-    # The average over partitions: parameters add up in a tree of reducers, never more than one model per partial sum.
+    # The average over partitions, by tokens; an input's by how often it was fed, as partitions without a word learn nothing
+    # of it.  Parameters add up in a tree of reducers, never more than one model per partial sum.
     def averaged(models: DataFrame) -> bytes | None:
         def add(it):
-            total, weight, first = None, 0, None
+            total, weight, fed, first = None, 0, 0, None
             for b in it:
                 for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     g = Gru.unpack(m)
                     first = first or g
-                    total = {k: v * n + (total[k] if total else 0) for k, v in g.p.items()}
-                    weight += n
+                    own = g.fed + 1e-6 * n
+                    total = {k: v * (own[:, None] if k == "x" else n) + (total[k] if total else 0) for k, v in g.p.items()}
+                    weight, fed = weight + n, fed + g.fed
             if first:
-                first.p = {k: (v / weight).astype(np.float32) for k, v in total.items()}
+                first.p = {k: (v / ((fed + 1e-6 * weight)[:, None] if k == "x" else weight)).astype(np.float32) for k, v in total.items()}
+                first.fed = fed
                 yield pa.RecordBatch.from_pydict({"n": [weight], "model": [first.pack()]})
 
         models = C.materialize(models, "lm-models")

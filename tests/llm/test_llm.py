@@ -258,6 +258,15 @@ def test_lm_learns_and_carries_state():
     assert abs(one - g.run(texts)[0]) < 1e-2  # whatever else is in the batch
 
 
+def test_lm_learns_words_beyond_the_most_frequent(spark):
+    """Two topics of 1500 equally frequent words of one shape: only a model of all words tells them by context."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k:05d}x" for k in r.integers(0, 1500, 200) + 1500 * (i % 2))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [x for x in lm_score.lm_score(df).collect() if x.held_out]
+    assert sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got) > 0.1
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
