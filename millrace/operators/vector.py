@@ -162,24 +162,27 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 
 
 class IvfIndex:
-    """Approximate search: rows by nearest centroid, the ``probe`` nearest cells read, exact distances in them.
+    """Approximate search: rows by nearest centroids, the ``probe`` nearest cells read, exact distances in them.
 
-    Centroids are fitted on a bounded sample (``sample`` rows by hash of the id); every row is indexed.
+    Centroids are fitted on a bounded sample (``sample`` rows by hash of the id); every row is indexed, in each of its
+    ``spill`` nearest cells, so that a row near a border is found from either side.
     """
 
-    def __init__(self, index: VectorIndex, cells: int = 16, sample: int = 20_000, rounds: int = 20):
+    def __init__(self, index: VectorIndex, cells: int = 16, sample: int = 20_000, rounds: int = 20, spill: int = 2):
         rows = index.df.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
         x = np.array(rows["embedding"].tolist(), np.float64)
         self.index = index
         self.centroids = lloyd(x, min(cells, len(x)), rounds) if len(x) else np.zeros((0, 0))
         cents = self.centroids
 
-        @F.pandas_udf("int")
-        def cell(v: pd.Series) -> pd.Series:
-            m = np.array(v.tolist(), np.float64)
-            return pd.Series(np.argmin((cents * cents).sum(1)[None, :] - 2 * m @ cents.T, 1))
+        @F.pandas_udf("array<int>")
+        def nearest(v: pd.Series) -> pd.Series:
+            m = np.array(v.tolist(), np.float64).reshape(len(v), -1)
+            return pd.Series(list(np.argsort((cents * cents).sum(1)[None, :] - 2 * m @ cents.T, 1, kind="stable")[:, :spill].astype(np.int32)))
 
-        self.cells = index.df.withColumn("cell", cell("embedding")) if len(x) else index.df.withColumn("cell", F.lit(0))
+        # A row lies in each of its cells, with those nearer to it: of the cells read only the first gives it.
+        rows = index.df.withColumn("own", nearest("embedding") if len(x) else F.array(F.lit(0)))
+        self.cells = rows.select("id", "embedding", "own", F.posexplode("own").alias("at", "cell")).withColumn("nearer", F.slice("own", 1, F.col("at"))).drop("own", "at")
 
     def save(self, path: str) -> IvfIndex:
         """Partitioned by cell: a search then lists and reads only the cells it probes."""
@@ -190,5 +193,6 @@ class IvfIndex:
     def search(self, q: Sequence[float], k: int = 10, probe: int = 4) -> DataFrame:
         v = np.asarray(q, np.float64)
         near = np.argsort(((self.centroids - v) ** 2).sum(1), kind="stable")[:probe] if len(self.centroids) else [0]
-        own = self.cells.where(F.col("cell").isin([int(x) for x in near]))
+        near = [int(x) for x in near]
+        own = self.cells.where(F.col("cell").isin(near) & ~F.arrays_overlap("nearer", F.array(*map(F.lit, near))))
         return self.index._with(own).search(q, k)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import queries
 from millrace.errors import EXISTS, INVAL, NOTFOUND, EngineError, message
 from millrace.functions.embed import Embedder, _powers, _values
 from millrace.functions.text import tokens
@@ -166,6 +167,19 @@ def test_ivf_recall(spark):
     assert hits / 50 >= 0.9
 
 
+def test_registered_ivf_recall(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    hits, asked = 0, x[ids % 20 == 0]
+    for q in asked:
+        monkeypatch.setattr(queries, "first", lambda *_, q=q: q)
+        got = [r.id for r in queries.QUERIES["ann_ivf_topk"](spark, d).collect()]
+        assert len(set(got)) == len(got) == 10
+        hits += len(set(got) & set(ids[np.lexsort((ids, ((x - q) ** 2).sum(1)))[:10]].tolist()))
+    assert hits / (10 * len(asked)) >= 0.9
+
+
 def test_quantizers(spark):
     df = spark.createDataFrame([(k, [float(v)] * 4) for k, v in enumerate((0, 10, 5))], "id long, embedding array<float>")
     q = QuantizedIndex(df, Sq8.train(df))
