@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MOST_CODEPOINTS, LONGEST_WORD = 2048, 8
+LONGEST_WORD = 8
+#: The reference reads no more of a text than this: ``most`` for results equal to its own.
+REFERENCE_CODEPOINTS = 2048
+#: Rows of the projection matrix taken at once.
+BLOCK = 65_536
 #: Beyond this many values of the projection matrix its rows are made when touched.
 MATRIX_VALUES = 8_388_608
 A, B, MASK = 1103515245, 12345, 0xFFFFFFFF
@@ -30,9 +34,10 @@ def _values(state: np.ndarray) -> np.ndarray:
 
 class Embedder:
     """Texts to unit vectors: words by the longest match in a dictionary, n-grams of codepoints hashed to rows of a
-    fixed pseudo-random matrix, summed and normalized."""
+    fixed pseudo-random matrix, summed and normalized.  Whole texts are read, or their first ``most`` codepoints."""
 
-    def __init__(self, dim: int = 128, ngram: int = 3, dictionary: Iterable[str] = (), seed: int = 42):
+    def __init__(self, dim: int = 128, ngram: int = 3, dictionary: Iterable[str] = (), seed: int = 42, most: int | None = None):
+        self.most = most
         self.dim, self.ngram, self.dictionary, self.seed = dim, ngram, frozenset(dictionary), seed
         self.buckets = dim * 256
         self._matrix: np.ndarray | None = None
@@ -63,7 +68,9 @@ class Embedder:
         return self._rows[bucket]
 
     def segment(self, text: str) -> str:
-        out, at, text = [], 0, text[:MOST_CODEPOINTS]
+        out, at, text = [], 0, text[: self.most]
+        if not self.dictionary:
+            return "".join(c + " " for c in text)
         while at < len(text):
             for k in range(min(LONGEST_WORD, len(text) - at), 0, -1):
                 if k == 1 or text[at : at + k] in self.dictionary:
@@ -82,7 +89,8 @@ class Embedder:
             own = codes[k : k + len(h)]
             for byte in range(4):
                 h = ((h ^ (own >> np.uint64(8 * byte) & np.uint64(255))) * np.uint64(16777619)) & np.uint64(MASK)
-        v = self.rows((h % np.uint64(self.buckets)).astype(np.int64)).sum(0, dtype=np.float64)
+        buckets = (h % np.uint64(self.buckets)).astype(np.int64)
+        v = sum(self.rows(buckets[at : at + BLOCK]).sum(0, dtype=np.float64) for at in range(0, len(buckets), BLOCK))
         norm = float(v @ v)
         return (v / np.sqrt(norm) if norm > 1e-30 else v).astype(np.float32)
 

@@ -201,6 +201,16 @@ def test_hybrid(spark):
     assert w[0].id == 1 and len(w) == 3 and w[-1].vec_distance == 0
 
 
+def test_embedding_reads_whole_texts(spark, tmp_path):
+    texts = ["ab " * 700 + end for end in ("", "zebra", "zebra" * 30_000)]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.embedding for r in queries.QUERIES["embed_text"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert not np.allclose(got[0], got[1]) and not np.allclose(got[1], got[2])
+    old = Embedder(16, most=2048)
+    assert np.array_equal(old.embed(texts[1]), old.embed(texts[2])) and not np.allclose(Embedder(16).embed(texts[1]), old.embed(texts[1]))
+    assert Embedder(16).segment("abc") == "a b c " == Embedder(16, dictionary=["zz"]).segment("abc")
+
+
 def test_embedding(spark):
     e = Embedder(16)
     a = e.embed("hello world")
