@@ -82,8 +82,10 @@ class VectorIndex:
         """Each partition keeps its k nearest; only those meet."""
         return self.scored(q, filter_, k).orderBy("distance", "id").limit(k)
 
-    def search_radius(self, q: Sequence[float], radius: float, most: int) -> DataFrame:
-        return self.scored(q).where(F.col("distance") <= radius).orderBy("distance", "id").limit(most)
+    def search_radius(self, q: Sequence[float], radius: float, most: int | None = None) -> DataFrame:
+        """All rows within the radius, or the ``most`` nearest of them."""
+        own = self.scored(q).where(F.col("distance") <= radius).orderBy("distance", "id")
+        return own if most is None else own.limit(most)
 
     def search_text(self, text: str, k: int = 10, filter_: Column | Callable | None = None) -> DataFrame:
         return self.search(self.embedder.embed(text), k, filter_)

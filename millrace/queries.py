@@ -216,7 +216,7 @@ def vec_ip_topk(spark, d):
 
 @query(TOP.format(L2, "WHERE d <= 1.7", 1000))
 def vec_radius(spark, d):
-    return near(vectors(spark, d).search_radius(first(spark, d), 1.7, 1000))
+    return near(vectors(spark, d).search_radius(first(spark, d), 1.7))
 
 
 @query(TOP.format(L2, "WHERE id % 2 = 0", 10))

@@ -167,6 +167,12 @@ def test_ivf_recall(spark):
     assert hits / 50 >= 0.9
 
 
+def test_registered_radius_gives_all(spark, tmp_path):
+    rows = [(k, [k / 2000, 0.0]) for k in range(1, 1501)] + [(2000, [9.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.id for r in queries.QUERIES["vec_radius"](spark, str(tmp_path)).collect()) == list(range(1, 1501))
+
+
 def test_registered_ivf_recall(spark, monkeypatch):
     d = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
