@@ -36,9 +36,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, at most three times."""
-    taken = materialize(mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__n")), "pipeline-copies")
-    placed = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]))
+    """Each row as many times as the mix takes it, at most three times; rows that repeat an id count apart.
+
+    The key of rows is written with them: it is no function of the row and must not change between two readings.
+    """
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    taken = materialize(mixing.mix(keyed, row_col="__row").where("copies > 0").select("__row", F.col("copies").cast("int").alias("__n")), "pipeline-copies")
+    placed = keyed.join(taken.hint("merge"), "__row")
     return placed.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 

@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return table.select("source", "source_size", "n", target.alias("target"), shift.alias("shift"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, copies.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies; and row_col, a key of rows, if given.
 
     Every document of a source expects target / source_size copies.  Documents stand in order of (size, salt, id);
     the expected copies are summed along it, one offset for the source is added, and a document is emitted once for
@@ -54,21 +54,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     documents of their own; sources without words have target 0 and take nothing.  Other columns are ignored.
     """
     salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1))
-    sized = C.materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size")).withColumn("salt", salt), "mix-sizes")
+    key = [row_col] if row_col else []
+    sized = C.materialize(docs.select(*key, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size")).withColumn("salt", salt), "mix-sizes")
     sources = C.materialize(source_targets(sized, weights, most, seed), "mix-targets")
     # The counts before each (source, size, salt): first of sizes, one row per distinct size, then of salts within a size.
     salts = sized.groupBy("source", "size", "salt").agg(F.count("*").alias("here"))
     within = salts.withColumn("before_salt", F.sum("here").over(Window.partitionBy("source", "size").orderBy("salt")) - F.col("here"))
     sizes = salts.groupBy("source", "size").agg(F.sum("here").alias("here")).withColumn("before_size", F.sum("here").over(Window.partitionBy("source").orderBy("size")) - F.col("here")).select("source", "size", "before_size")
-    ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id")))
+    ranked = sized.withColumn("at", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", *key)))
     same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
     starts = within.join(sizes, same(within, sizes, "source", "size")).select(within["source"], within["size"], within["salt"], (F.col("before_salt") + F.col("before_size")).alias("before"))
-    placed = ranked.join(starts, same(ranked, starts, "source", "size", "salt")).select(ranked["doc_id"], ranked["source"], ranked["size"], (F.col("at") + F.col("before")).alias("rank"))
+    placed = ranked.join(starts, same(ranked, starts, "source", "size", "salt")).select(*[ranked[k] for k in key], ranked["doc_id"], ranked["source"], ranked["size"], (F.col("at") + F.col("before")).alias("rank"))
     out = placed.join(C.checked(sources), placed["source"].eqNullSafe(sources["source"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     step = lambda k: F.floor(k.cast("double") * rate + F.col("shift"))
     copies = (step(F.col("rank")) - step(F.col("rank") - 1)).cast("long")
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select(*key, "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 ORACLE = r"""

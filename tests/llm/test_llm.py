@@ -329,6 +329,16 @@ def test_html_layout(spark):
     assert sorted((r.page_id or 0, r.text) for r in html_text.html_text(df).collect()) == [(0, "a"), (1, ""), (2, ""), (3, "deep"), (5, ""), (5, "")]
 
 
+def test_pipeline_mixes_rows_that_repeat_an_id_apart(spark):
+    rows = [(i % 10, f"text {i} " + "word " * (i % 10), None, f"s{i % 2}", 0, 0, 0) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    copies = Counter()
+    for r in mixing.mix(df).collect():
+        copies[r.doc_id] += r.copies
+    got = corpus_pipeline.mixing_sources(spark, df, "")
+    assert got.columns == df.columns and Counter(r.doc_id for r in got.collect()) == +copies
+
+
 def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
