@@ -59,15 +59,12 @@ def features(text: bytes, start: int, end: int, kind: str, path: str | None) ->
     """Numbers for the forest: the candidate's length, its character transitions, how much of it a dictionary covers, its path and its neighbours."""
     s = text[start:end]
     n = max(1, len(s))
-    # What is counted is bounded by this many bytes of the candidate; its length is that of the whole.
-    t = s[:512]
-    m = max(1, len(t))
-    kinds = bytes(1 if 48 <= c <= 57 else 2 if 65 <= c <= 90 else 3 if 97 <= c <= 122 else 4 for c in t)
-    low = t.lower()
+    kinds = bytes(1 if 48 <= c <= 57 else 2 if 65 <= c <= 90 else 3 if 97 <= c <= 122 else 4 for c in s)
+    low = s.lower()
     letters = [(a - 97, b - 97) for a, b in zip(low, low[1:]) if 97 <= a <= 122 and 97 <= b <= 122]
     surprise = -sum(PAIRS[a, b] for a, b in letters) / len(letters) if letters else 0.0
-    counts = Counter(t)
-    entropy = -sum(c / m * math.log2(c / m) for c in counts.values())
+    counts = Counter(s)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     covered = at = 0
     while at < len(low):
         for k in (8, 7, 6, 5, 4, 3):
@@ -81,12 +78,12 @@ def features(text: bytes, start: int, end: int, kind: str, path: str | None) ->
     left, right = text[max(0, start - NEAR) : start], text[end : end + NEAR]
     lw, rw = left.split(), right.split()
     return [
-        float(n), math.log(n), kinds.count(1) / m, kinds.count(2) / m, kinds.count(3) / m, kinds.count(4) / m,
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / m, surprise, entropy, len(counts) / m,
-        float(bool(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", t))), covered / m, float(max(map(len, runs), default=0)),
-        sum(a == b for a, b in zip(t, t[1:])) / m, float(bool(KEY_NEAR.search(left))), float(bool(SAFE_NEAR.search(left))),
-        float(left.rstrip(b" \"'").endswith((b"=", b":"))), float(left.endswith((b'"', b"'"))), float(bool(MADE_UP.search(t))),
-        float(bool(re.fullmatch(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", t))), float(t.isdigit()),
+        float(n), math.log(n), kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n, kinds.count(4) / n,
+        sum(a != b for a, b in zip(kinds, kinds[1:])) / n, surprise, entropy, len(counts) / n,
+        float(bool(re.fullmatch(rb"[0-9a-f]+|[0-9A-F]+", s))), covered / n, float(max(map(len, runs), default=0)),
+        sum(a == b for a, b in zip(s, s[1:])) / n, float(bool(KEY_NEAR.search(left))), float(bool(SAFE_NEAR.search(left))),
+        float(left.rstrip(b" \"'").endswith((b"=", b":"))), float(left.endswith((b'"', b"'"))), float(bool(MADE_UP.search(s))),
+        float(bool(re.fullmatch(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", s))), float(s.isdigit()),
         float(bool(path and SAFE_PATH.search(path))), float(bool(lw) and lw[-1].strip(b".,;").isalpha()), float(bool(rw) and rw[0].strip(b".,;").isalpha()),
         *(float(kind == k) for k in KINDS),
     ]

@@ -294,6 +294,12 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secret_features_of_whole_candidates():
+    one, two = (b"a1" * 256 + end * 300 for end in (b"a1", b"Z-"))
+    of = lambda s: dict(zip(secrets.NAMES, secrets.features(s, 0, len(s), "generic", None)))
+    assert of(one)["upper"] == 0 and of(two)["upper"] > 0.2 and of(one)["hex"] == 1 and of(two)["hex"] == 0
+
+
 class Visible(html.parser.HTMLParser):
     def __init__(self):
         super().__init__()
