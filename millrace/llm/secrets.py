@@ -17,6 +17,8 @@ from millrace.llm import common as C
 #: Labelled findings made by ``labelled_findings`` when no others are given, and the forest's size.
 FINDINGS, TREES, DEPTH, LEAST_LEAF, SEED = 6000, 40, 12, 2, 11
 KEYS = rb"passwd|password|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?token|private[_-]?key|client[_-]?secret|credential"
+#: A key's name may end a longer one (DB_PASSWORD, --db.password); of such a run the part up to the first key that is assigned.
+RUN = rb"[A-Za-z0-9_.+/=-]"
 CANDIDATE = re.compile(
     rb"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
     rb"|(?P<cloud>\bAKIA[0-9A-Z]{16}\b)"
@@ -24,7 +26,7 @@ CANDIDATE = re.compile(
     rb"|(?P<chat>\bxox[abprs]-[A-Za-z0-9-]{10,250}\b)"
     rb"|(?P<pay>\b[srp]k_(?:live|test)_[A-Za-z0-9]{10,250}\b)"
     rb"|(?P<jwt>\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
-    rb"|(?P<assigned>\b(?i:" + KEYS + rb")[\"']?\s{0,3}[=:]{1,2}\s{0,3}[\"']?(?P<value>[^\s\"'<>]{6,}))"
+    rb"|(?P<assigned>(?:(?<!" + RUN + rb")(?P<before>" + RUN + rb"*?)|\b)(?i:" + KEYS + rb")[\"']?\s{0,3}[=:]{1,2}\s{0,3}[\"']?(?P<value>[^\s\"'<>]{6,}))"
     rb"|(?P<generic>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]))"
 )
 KINDS = ("pem", "cloud", "forge", "chat", "pay", "jwt", "assigned", "generic")
@@ -90,10 +92,12 @@ def features(text: bytes, start: int, end: int, kind: str, path: str | None) ->
 
 
 def candidates(text: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in bytes; for an assignment, of what is assigned."""
+    """(start, end, kind) in bytes; for an assignment, of what is assigned, after those in what precedes the key's name."""
     out = []
     for m in CANDIDATE.finditer(text):
         kind = "assigned" if m.lastgroup == "value" else m.lastgroup
+        if m["before"]:
+            out += [(*x.span(), x.lastgroup) for x in CANDIDATE.finditer(text, *m.span("before"))]
         out.append((*(m.span("value") if kind == "assigned" else m.span()), kind))
     return out
 
