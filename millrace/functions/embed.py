@@ -14,6 +14,8 @@ LONGEST_WORD = 8
 REFERENCE_CODEPOINTS = 2048
 #: Rows of the projection matrix taken at once.
 BLOCK = 65_536
+#: Counts of buckets held at once.
+EMBED_VALUES = 1_048_576
 #: Beyond this many values of the projection matrix its rows are made when touched.
 MATRIX_VALUES = 8_388_608
 A, B, MASK = 1103515245, 12345, 0xFFFFFFFF
@@ -41,10 +43,11 @@ class Embedder:
         self.dim, self.ngram, self.dictionary, self.seed = dim, ngram, frozenset(dictionary), seed
         self.buckets = dim * 256
         self._matrix: np.ndarray | None = None
+        self._wide: np.ndarray | None = None
         self._rows: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_matrix": None, "_rows": {}}
+        return self.__dict__ | {"_matrix": None, "_wide": None, "_rows": {}}
 
     def rows(self, buckets: np.ndarray) -> np.ndarray:
         if self.buckets * self.dim <= MATRIX_VALUES:
@@ -79,26 +82,61 @@ class Embedder:
                     break
         return "".join(w + " " for w in out)
 
-    def embed(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(self.dim, np.float32)
-        codes = np.frombuffer(self.segment(text).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    def _codes(self, text: str) -> np.ndarray:
+        """Code points of what ``segment`` makes of a text."""
+        if self.dictionary:
+            return np.frombuffer(self.segment(text).encode("utf-32-le", "replace"), np.uint32)
+        own = np.frombuffer(text[: self.most].encode("utf-32-le", "replace"), np.uint32)
+        out = np.full(2 * len(own), 32, np.uint32)
+        out[::2] = own
+        return out
+
+    def _buckets(self, codes: np.ndarray) -> np.ndarray:
         n = min(self.ngram, len(codes))
-        h = np.full(len(codes) - n + 1, 2166136261, np.uint64)
+        h = np.full(len(codes) - n + 1, 2166136261, np.uint32)
+        wide = int(codes.max(initial=0)).bit_length()
         for k in range(n):
             own = codes[k : k + len(h)]
-            for byte in range(4):
-                h = ((h ^ (own >> np.uint64(8 * byte) & np.uint64(255))) * np.uint64(16777619)) & np.uint64(MASK)
-        buckets = (h % np.uint64(self.buckets)).astype(np.int64)
-        v = sum(self.rows(buckets[at : at + BLOCK]).sum(0, dtype=np.float64) for at in range(0, len(buckets), BLOCK))
-        norm = float(v @ v)
-        return (v / np.sqrt(norm) if norm > 1e-30 else v).astype(np.float32)
+            for shift in range(0, 32, 8):
+                if shift < wide:
+                    h ^= (own >> np.uint32(shift)) & np.uint32(255)
+                h *= np.uint32(16777619)
+        return h % np.uint32(self.buckets)
+
+    def embed_all(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: how often each bucket occurs, times the matrix."""
+        out = np.zeros((len(texts), self.dim), np.float64)
+        whole = self.buckets * self.dim <= MATRIX_VALUES
+        step = max(1, EMBED_VALUES // self.buckets)
+        for at in range(0, len(texts), step):
+            some = texts[at : at + step]
+            counts = np.zeros((len(some), self.buckets), np.float32) if whole else None
+            for i, x in enumerate(some):
+                if not x:
+                    continue
+                own = self._buckets(self._codes(x))
+                if whole:
+                    counts[i] = np.bincount(own, minlength=self.buckets)
+                else:
+                    used, times = np.unique(own, return_counts=True)
+                    for a in range(0, len(used), BLOCK):
+                        out[at + i] += times[a : a + BLOCK] @ self.rows(used[a : a + BLOCK]).astype(np.float64)
+            if whole:
+                self.rows(np.zeros(0, np.int64))
+                if self._wide is None:
+                    self._wide = self._matrix.astype(np.float64)
+                out[at : at + step] = counts.astype(np.float64) @ self._wide
+        norm = (out * out).sum(1, keepdims=True)
+        return (out / np.where(norm > 1e-30, np.sqrt(norm), 1)).astype(np.float32)
+
+    def embed(self, text: str | None) -> np.ndarray:
+        return self.embed_all([text])[0]
 
     def __call__(self, text: Column) -> Column:
         own = self
 
         @F.pandas_udf("array<float>")
         def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: own.embed(x).tolist())
+            return pd.Series(list(own.embed_all(s.tolist())))
 
         return run(text)

@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.errors import INVAL, EngineError
+from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.text import tokens
+from millrace.sources.shared import Files
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r'\s*(?:(?P<field>[^\s":\[\]^~]+):)?(?:"(?P<phrase>[^"]*)"?|\[(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]]+)\s*\]?|(?P<word>[^\s"\[\]^~:]+))(?P<suffix>(?:\^[0-9.]+|~[0-9]*)*)', re.I)
@@ -99,6 +101,23 @@ class TextIndex:
     def drop(self) -> None:
         self.postings.unpersist()
 
+    def save(self, path: str) -> TextIndex:
+        """Writes postings in the order of terms, so that a search reads the row groups of its terms, and the statistics."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", 4 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+        self.stats.coalesce(1).write.parquet(f"{path}/stats")
+        Files(spark, path).write("index.json", {"options": self.options, "postings": self.postings.schema.jsonValue(), "stats": self.stats.schema.jsonValue()})
+        return TextIndex.load(spark, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> TextIndex:
+        files = Files(spark, path)
+        if not files.exists("index.json"):
+            raise EngineError(NOTFOUND, path)
+        m = files.read("index.json")
+        read = lambda x: spark.read.schema(T.StructType.fromJson(m[x])).parquet(f"{path}/{x}")
+        return cls(None, read("postings"), read("stats"), m["options"])
+
     def vocabulary(self) -> DataFrame:
         return self.postings.select("term").distinct()
 
@@ -139,7 +158,8 @@ class TextIndex:
             return self.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         matched = F.filter(F.array(*[F.when(h & x, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, h, x in parts]), lambda s: s.isNotNull())
         # Filters on terms reach the scan of stored postings.
-        hits = self.postings.where(reduce(lambda p, q: p | q, [x for *_, x in parts])).select("doc_id", "term", "field", "tf", "dl", "positions", F.explode(matched).alias("c"))
+        places = "positions" if any(c.kind == "phrase" and sizes[i] > 1 for i, c in enumerate(parsed.clauses)) else F.lit(None).alias("positions")
+        hits = self.postings.where(reduce(lambda p, q: p | q, [x for *_, x in parts])).select("doc_id", "term", "field", "tf", "dl", places, F.explode(matched).alias("c"))
         df = hits.groupBy("field", "term", "c").agg(F.count("*").alias("df"))
         # Two rows per field and matched term: a few for words, the matched vocabulary for ranges; AQE chooses the join.
         scored = hits.join(df, ["field", "term", "c"]).join(F.broadcast(self.stats), "field")

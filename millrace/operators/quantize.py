@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.distance import l2, vector
-from millrace.operators.vector import lloyd
+from millrace.operators.vector import lloyd, sampled
 
 
 class Sq8:
@@ -58,8 +58,8 @@ class Pq:
 
     @classmethod
     def train(cls, df: DataFrame, subspaces: int, column: str = "embedding", codes: int = 256, rounds: int = 20, sample: int = 50_000) -> Pq:
-        """Lloyd's algorithm on at most ``sample`` rows, the first by id."""
-        rows = df.orderBy("id").limit(sample).select(column).toPandas()[column].tolist()
+        """Lloyd's algorithm on about ``sample`` rows by a hash of the id, twice as many at most."""
+        rows = sampled(df, sample).orderBy(F.xxhash64("id"), "id").select(column).toPandas()[column].tolist()
         if not rows or subspaces < 1:
             raise EngineError(INVAL, "no rows to train from")
         x = np.array(rows, np.float64)
@@ -113,7 +113,10 @@ class QuantizedIndex:
         self.quantizer, self.df = quantizer, df.select("id", "embedding", quantizer.encode(F.col("embedding")).alias("code"))
 
     def insert(self, rows: DataFrame) -> QuantizedIndex:
-        return QuantizedIndex(self.df.select("id", "embedding").unionByName(rows.select("id", "embedding")), self.quantizer)
+        """Repeated ids stay; what is there already isn't encoded again."""
+        own = QuantizedIndex.__new__(QuantizedIndex)
+        own.quantizer, own.df = self.quantizer, self.df.unionByName(QuantizedIndex(rows, self.quantizer).df)
+        return own
 
     def search(self, q: Sequence[float], k: int = 10) -> DataFrame:
         if k <= 0:

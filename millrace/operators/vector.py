@@ -12,8 +12,21 @@ from pyspark.sql import functions as F
 
 from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.distance import METRICS, metric, vector
+from millrace.sources.shared import Files
 
 
+def sampled(df: DataFrame, rows: int, id_col: str = "id") -> DataFrame:
+    """About ``rows`` rows by a hash of the id, twice as many at most; all of them if there are no more."""
+    n = df.count()
+    million = 1_000_000
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(id_col), F.lit(million)) < -(-million * rows // n)).limit(2 * rows)
+
+
+def batch_of(b: pa.RecordBatch, column: int) -> np.ndarray:
+    """A column of vectors as a matrix, without a Python object for each value."""
+    v = b.column(column)
+    return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 0))
+
 def searchable(filter_: Column | Callable) -> Column:
     """A Column predicate as it is; a Python callable on ids as a vectorized function."""
     if isinstance(filter_, Column):
@@ -45,7 +58,9 @@ class VectorIndex:
         return vector(np.asarray(q, np.float32).astype(float))
 
     def insert(self, rows: DataFrame) -> VectorIndex:
-        new = rows.select("id", "embedding")
+        """Of an id that the batch repeats the later row counts, as far as rows have an order."""
+        new = rows.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        new = new.withColumn("at", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by("embedding", "at").alias("embedding"))
         return self._with(self.df.join(new.select("id").distinct(), "id", "left_anti").unionByName(new))
 
     insert_batch = insert
@@ -94,7 +109,7 @@ class VectorIndex:
         """(qid, id, distance) for each row of queries (qid, embedding): a stated query set, in blocks, against all rows.
 
         A block of queries is a broadcast matrix; each partition multiplies and keeps its k best for each query, and
-        a window over those finds the k best of all.
+        a window over those finds the k best of all.  The driver holds one block at a time.
         """
         name, spark = self.metric if self.metric in METRICS else "l2", self.df.sparkSession
         sent = None
@@ -110,8 +125,7 @@ class VectorIndex:
                 qids, q = shared.value
                 best_d, best_i = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
                 for b in it:
-                    own = b.column(0).to_numpy()
-                    x = np.array(b.column(1).to_pylist(), np.float64).reshape(len(own), -1)
+                    own, x = b.column(0).to_numpy(), batch_of(b, 1)
                     if not len(own):
                         continue
                     if name == "l2":
@@ -142,12 +156,22 @@ class VectorIndex:
         w = Window.partitionBy("qid").orderBy("distance", "id")
         return sent.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
-    def save(self, path: str) -> None:
-        self.df.write.mode("overwrite").parquet(path)
+    def save(self, path: str) -> VectorIndex:
+        """Writes a version beside the ones there are, then its parameters: a reader opens the newest that is whole."""
+        files = Files(self.df.sparkSession, path)
+        n = max([0, *(int(x.removesuffix(".json")) for x in files.names() if x.endswith(".json"))]) + 1
+        self.df.write.mode("overwrite").parquet(f"{path}/{n:06d}")
+        files.write(f"{n:06d}.json", {"dim": self.dim, "metric": self.metric})
+        return VectorIndex.load(self.df.sparkSession, path, embedder=self.embedder)
 
     @classmethod
-    def load(cls, spark, path: str, **options) -> VectorIndex:
-        return cls(spark.read.parquet(path), **options)
+    def load(cls, spark, path: str, embedder=None) -> VectorIndex:
+        files = Files(spark, path)
+        whole = [x for x in files.names() if x.endswith(".json")]
+        if not whole:
+            raise EngineError(NOTFOUND, path)
+        m = files.read(whole[-1])
+        return cls(spark.read.schema("id long, embedding array<float>").parquet(f"{path}/{whole[-1].removesuffix('.json')}"), m["dim"], m["metric"], embedder)
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
@@ -166,35 +190,130 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 class IvfIndex:
     """Approximate search: rows by nearest centroids, the ``probe`` nearest cells read, exact distances in them.
 
-    Centroids are fitted on a bounded sample (``sample`` rows by hash of the id); every row is indexed, in each of its
-    ``spill`` nearest cells, so that a row near a border is found from either side.
+    Centroids are fitted on a bounded sample (about ``sample`` rows by hash of the id); every row is indexed, in each of
+    its ``spill`` nearest cells, so that a row near a border is found from either side.
     """
 
     def __init__(self, index: VectorIndex, cells: int = 16, sample: int = 20_000, rounds: int = 20, spill: int = 2):
-        rows = index.df.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
+        rows = sampled(index.df, sample).orderBy(F.xxhash64("id"), "id").toPandas()
         x = np.array(rows["embedding"].tolist(), np.float64)
-        self.index = index
+        self.index, self.spill = index, spill
         self.centroids = lloyd(x, min(cells, len(x)), rounds) if len(x) else np.zeros((0, 0))
-        cents = self.centroids
+        self.cells = self._placed(index.df)
 
-        @F.pandas_udf("array<int>")
-        def nearest(v: pd.Series) -> pd.Series:
-            m = np.array(v.tolist(), np.float64).reshape(len(v), -1)
-            return pd.Series(list(np.argsort((cents * cents).sum(1)[None, :] - 2 * m @ cents.T, 1, kind="stable")[:, :spill].astype(np.int32)))
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """(id, embedding, cell, nearer): a row lies in each of its cells, with those nearer to it: of the cells read only the first gives it."""
+        cents, spill = self.centroids, self.spill
 
-        # A row lies in each of its cells, with those nearer to it: of the cells read only the first gives it.
-        rows = index.df.withColumn("own", nearest("embedding") if len(x) else F.array(F.lit(0)))
-        self.cells = rows.select("id", "embedding", "own", F.posexplode("own").alias("at", "cell")).withColumn("nearer", F.slice("own", 1, F.col("at"))).drop("own", "at")
+        def place(it):
+            for b in it:
+                x = batch_of(b, 1)
+                near = np.argsort((cents * cents).sum(1)[None, :] - 2 * x @ cents.T, 1, kind="stable")[:, :spill].astype(np.int32) if len(cents) and len(x) else np.zeros((len(x), 1), np.int32)
+                for k in range(near.shape[1]):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near[:, k]), pa.array(near[:, :k].tolist(), pa.list_(pa.int32()))], ["id", "embedding", "cell", "nearer"])
+
+        return df.select("id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(place, "id long, embedding array<float>, cell int, nearer array<int>")
 
     def save(self, path: str) -> IvfIndex:
         """Partitioned by cell: a search then lists and reads only the cells it probes."""
-        self.cells.write.mode("overwrite").partitionBy("cell").parquet(path)
-        self.cells = self.index.df.sparkSession.read.parquet(path)
-        return self
+        self.cells.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(path)
+        spark = self.index.df.sparkSession
+        Files(spark, path).write("_centroids.json", {"centroids": self.centroids.tolist(), "spill": self.spill, "dim": self.index.dim, "metric": self.index.metric})
+        return IvfIndex.load(spark, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> IvfIndex:
+        own, m = cls.__new__(cls), Files(spark, path).read("_centroids.json")
+        own.centroids, own.spill = np.array(m["centroids"], np.float64), m["spill"]
+        own.cells = spark.read.schema("id long, embedding array<float>, nearer array<int>, cell int").parquet(path).select("id", "embedding", "cell", "nearer")
+        own.index = VectorIndex(own.cells.where(F.size("nearer") == 0), m["dim"], m["metric"])
+        return own
+
+    def _with(self, cells: DataFrame) -> IvfIndex:
+        own = IvfIndex.__new__(IvfIndex)
+        own.centroids, own.spill, own.cells = self.centroids, self.spill, cells
+        own.index = self.index._with(cells.where(F.size("nearer") == 0))
+        return own
+
+    def insert(self, rows: DataFrame) -> IvfIndex:
+        """Into the cells that there are; an id that is there already is replaced."""
+        new = VectorIndex(self.cells.limit(0)).insert(rows).df
+        left = self.cells.join(new.select("id"), "id", "left_anti").select(self.cells.columns)
+        return self._with(left.unionByName(self._placed(new)))
+
+    def delete(self, ids: Sequence[int] | DataFrame) -> IvfIndex:
+        gone = ids if isinstance(ids, DataFrame) else self.cells.sparkSession.createDataFrame([(int(i),) for i in ids], "id long")
+        return self._with(self.cells.join(gone.select("id"), "id", "left_anti").select(self.cells.columns))
+
+    def get(self, id_: int) -> DataFrame:
+        return self.index.get(id_)
+
+    def count(self) -> DataFrame:
+        return self.index.count()
+
+    def _probed(self, q: np.ndarray, probe: int) -> np.ndarray:
+        """For each query a flag for each cell."""
+        if not len(self.centroids):
+            return np.ones((len(q), 1), bool)
+        near = np.argsort((self.centroids**2).sum(1)[None, :] - 2 * q @ self.centroids.T, 1, kind="stable")[:, :probe]
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(out, near, True, 1)
+        return out
 
     def search(self, q: Sequence[float], k: int = 10, probe: int = 4) -> DataFrame:
-        v = np.asarray(q, np.float64)
-        near = np.argsort(((self.centroids - v) ** 2).sum(1), kind="stable")[:probe] if len(self.centroids) else [0]
-        near = [int(x) for x in near]
-        own = self.cells.where(F.col("cell").isin(near) & ~F.arrays_overlap("nearer", F.array(*map(F.lit, near))))
+        near = np.flatnonzero(self._probed(np.asarray(q, np.float64)[None, :], probe)[0]).tolist()
+        own = self.cells.where(F.col("cell").isin(near) & ~F.arrays_overlap("nearer", F.array(*map(F.lit, near)).cast("array<int>")))
         return self.index._with(own).search(q, k)
+
+    def batch_knn(self, queries: DataFrame, k: int, probe: int = 4, block: int = 1024) -> DataFrame:
+        """(qid, id, distance) for each row of queries (qid, embedding), in blocks: the rows of the cells that a query
+        probes are compared with it, and each partition keeps its k best for each query."""
+        spark, name = self.cells.sparkSession, self.index.metric if self.index.metric in METRICS else "l2"
+        none = spark.createDataFrame([], "qid long, id long, distance double")
+
+        def part(held: list) -> DataFrame:
+            qids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
+            probed = self._probed(q, probe)
+            shared = spark.sparkContext.broadcast((qids, q, probed))
+            cells = np.flatnonzero(probed.any(0)).tolist()
+
+            def run(it):
+                qids, q, probed = shared.value
+                best: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+                for b in it:
+                    ids, x, cell = b.column(0).to_numpy(), batch_of(b, 1), b.column(2).to_numpy()
+                    nearer = np.zeros((len(ids), probed.shape[1]), bool)
+                    lists = b.column(3)
+                    nearer[np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = True
+                    for c in np.unique(cell).tolist():
+                        rows = np.flatnonzero(cell == c)
+                        asks = np.flatnonzero(probed[:, c])
+                        own, near = x[rows], nearer[rows]
+                        for i in asks.tolist():
+                            ok = ~(near & probed[i]).any(1)
+                            v, found = own[ok], ids[rows][ok]
+                            if name == "l2":
+                                d = ((v - q[i]) ** 2).sum(1)
+                            elif name == "ip":
+                                d = -(v @ q[i])
+                            else:
+                                norm = np.sqrt((v * v).sum(1) * (q[i] @ q[i]))
+                                d = np.where(norm == 0, 1.0, 1 - (v @ q[i]) / np.where(norm == 0, 1, norm))
+                            d, found = np.r_[best[i][0], d], np.r_[best[i][1], found]
+                            keep = np.lexsort((found, d))[:k]
+                            best[i] = d[keep], found[keep]
+                out = [(int(qids[i]), int(f), float(d)) for i, (ds, fs) in enumerate(best) for d, f in zip(ds, fs)]
+                if out:
+                    a, f, d = zip(*out)
+                    yield pa.RecordBatch.from_pydict({"qid": pa.array(a, pa.int64()), "id": pa.array(f, pa.int64()), "distance": pa.array(d, pa.float64())})
+
+            return self.cells.where(F.col("cell").isin(cells)).mapInArrow(run, "qid long, id long, distance double")
+
+        held, sent = [], none
+        for r in queries.select("qid", "embedding").toLocalIterator():
+            held.append(r)
+            if len(held) == block:
+                sent, held = sent.unionByName(part(held)), []
+        sent = sent.unionByName(part(held)) if held else sent
+        w = Window.partitionBy("qid").orderBy("distance", "id")
+        return sent.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")

@@ -12,8 +12,10 @@ from millrace.operators.hybrid import fuse
 from millrace.operators.quantize import Pq, QuantizedIndex, Sq8
 from millrace.operators.vector import IvfIndex, VectorIndex
 from millrace.plans.predicate import cond
-from millrace.sources.changelog import DELETED, KEY, SEQ, as_log, latest
+from millrace.sources.changelog import DELETED, KEY, SEQ, ChangeLog, as_log, latest
 from millrace.sources.engine import Engine
+from millrace.sources.shared import fresh_path
+from millrace.streaming.tail import follow, followed
 
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id"}
 QUERIES: dict = {}
@@ -100,6 +102,50 @@ def changelog_compact(spark, d):
     return rows.repartitionByRange(KEY).sortWithinPartitions(KEY).drop(KEY, SEQ, DELETED)
 
 
+def orders_log(spark, d) -> ChangeLog:
+    """Stored: all orders, then those that are done at another price, then without the urgent ones, then two of them again."""
+    own = spark.read.parquet(f"{d}/orders.parquet")
+    log = ChangeLog.create(spark, fresh_path(spark, "orders-log"), own.schema, "o_orderkey")
+    log.put(own)
+    log.put(own.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    log.delete(own.where("o_orderpriority = '1-URGENT'").select("o_orderkey"))
+    log.put(own.where("o_orderpriority = '1-URGENT' and o_orderkey % 2 = 0"))
+    return log
+
+
+PUT = "SELECT * REPLACE (CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE (o_orderpriority <> '1-URGENT' OR o_orderkey % 2 = 0)"
+
+
+@query(PUT)
+def table_put_delete(spark, d):
+    return orders_log(spark, d).view()
+
+
+@query(PUT + " AND o_orderkey = 32")
+def table_get(spark, d):
+    return orders_log(spark, d).get(32)
+
+
+@query(PUT)
+def table_compact(spark, d):
+    log = orders_log(spark, d)
+    log.compact()
+    log.vacuum()
+    return ChangeLog(spark, log.root).view()
+
+
+@query(PUT)
+def stream_follow(spark, d):
+    """A stream that is stopped, and goes on after the table was compacted and written to."""
+    log, target, kept = orders_log(spark, d), fresh_path(spark, "followed"), fresh_path(spark, "follow-state")
+    follow(spark, log, target, kept).awaitTermination()
+    log.put(log.view().where("o_orderstatus = 'O'").withColumn("o_totalprice", F.lit(0.0)))
+    log.compact()
+    log.put(spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'O' and (o_orderpriority <> '1-URGENT' or o_orderkey % 2 = 0)"))
+    follow(spark, log, target, kept).awaitTermination()
+    return followed(spark, log, target)
+
+
 LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOKENS = "list_filter(regexp_extract_all(" + LOW + ", '[a-z0-9'']+'), lambda x: len(x) >= 2)"
 STOP = ["the", "and", "of", "de", "la", "die", "der"]
@@ -174,6 +220,20 @@ fts("fts_boost", "thing^2.5 reon", " SELECT doc_id, round(sum(CASE term WHEN 'th
 fts("fts_fuzzy_search", "thing~1", " SELECT doc_id, round(sum(s), 6) AS score FROM b WHERE levenshtein(term, 'thing') <= 1 GROUP BY doc_id")
 
 
+def stored_index(spark, d) -> TextIndex:
+    return text_index(spark, d).save(fresh_path(spark, "text-index"))
+
+
+@query(SQL["fts_bm25_or"])
+def fts_stored_or(spark, d):
+    return stored_index(spark, d).search("thing reon").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(SQL["fts_phrase"])
+def fts_stored_phrase(spark, d):
+    return stored_index(spark, d).search('"of the"').select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH a AS (SELECT doc_id, 'lang' AS field, lang AS text FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents), t AS (SELECT doc_id, field, {TOKENS} AS ts FROM a), c AS (SELECT field, unnest(ts) AS term, doc_id, 1.0::DOUBLE AS tf, len(ts) AS dl FROM t), f AS (SELECT field, term, count(*)::DOUBLE AS df FROM c GROUP BY field, term), s AS (SELECT field, count(*)::DOUBLE AS n, avg(len(ts)) AS avgdl FROM t GROUP BY field) SELECT doc_id, round({BM25}, 6) AS score FROM c JOIN f USING (field, term) JOIN s USING (field) WHERE field = 'lang' AND term = 'de'")
 def fts_field(spark, d):
     return TextIndex.build(docs(spark, d), "doc_id", ["lang", "source"]).search("lang:de").select("doc_id", F.round("score", 6).alias("score"))
@@ -214,7 +274,7 @@ def vec_ip_topk(spark, d):
     return near(vectors(spark, d, metric="ip").search(first(spark, d), 10))
 
 
-@query(TOP.format(L2, "WHERE d <= 1.7", 1000))
+@query(TOP.format(L2, "WHERE d <= 1.7", 0).removesuffix(" LIMIT 0"))
 def vec_radius(spark, d):
     return near(vectors(spark, d).search_radius(first(spark, d), 1.7))
 
@@ -269,6 +329,28 @@ def hybrid_weighted(spark, d):
     return _hybrid(spark, d, "weighted")
 
 
+@query(FUSED.format("coalesce(0.7::DOUBLE / (60 + rv), 0) + coalesce(0.3::DOUBLE / (60 + rf), 0)"))
+def hybrid_search(spark, d):
+    """The same by the engine: an index of each kind, searched and fused."""
+    e = engine(spark, d).vec_create_index(len(first(spark, d)))
+    e.vec_insert_batch(vectors(spark, d).df)
+    e.fts_create_index("documents", "text")
+    out = e.hybrid_search("documents", "text", "thing reon", first(spark, d), 20, vector_weight=0.7, fts_weight=0.3, most=15)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("score", "vec_distance", "fts_score")])
+
+
+@query(TOP.format(L2, "WHERE id > 3 OR id < 1", 10))
+def vec_engine(spark, d):
+    """Inserted twice, the first time wrongly, some deleted."""
+    own = vectors(spark, d).df
+    e = engine(spark, d).vec_create_index(len(first(spark, d)))
+    e.vec_insert_batch(own.withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    e.vec_insert_batch(own)
+    for k in (1, 2, 3):
+        e.vec_delete(k)
+    return near(e.vec_search(first(spark, d), 10))
+
+
 CODES = "WITH x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS dim FROM embeddings), m AS (SELECT dim, min(v) AS lo, CASE WHEN max(v) = min(v) THEN 1 ELSE max(v) - min(v) END AS span FROM x GROUP BY dim), c AS (SELECT id, dim, lo, span, floor(greatest(least((v - lo) / span, 1), 0) * 255 + 0.5::DOUBLE)::INTEGER AS code FROM x JOIN m USING (dim))"
 
 
@@ -321,4 +403,11 @@ def search_text_filtered(spark, d):
 
 @query()
 def ann_ivf_topk(spark, d):
-    return near(IvfIndex(vectors(spark, d), 16).search(first(spark, d), 10, 6))
+    return near(IvfIndex(vectors(spark, d), 16).search(first(spark, d), 10, 8))
+
+
+@query()
+def ann_ivf_knn(spark, d):
+    """Every row whose id is divisible by 20 against all rows, from stored cells."""
+    i = IvfIndex(vectors(spark, d), 16).save(fresh_path(spark, "ivf"))
+    return near(i.batch_knn(i.index.df.where(F.col("id") % 20 == 0).withColumnRenamed("id", "qid"), 10, 8))

@@ -231,3 +231,251 @@ def test_embedding(spark):
     assert Embedder(8, dictionary=["ab"]).segment("abc") == "ab c "
     i = VectorIndex(spark.createDataFrame([], "id long, embedding array<float>"), 16, "cosine", e).insert_text(spark.createDataFrame([(1, "good day"), (2, "far away")], "id long, text string"))
     assert i.search_text("good day", 1).first().id == 1
+
+
+def test_writes_order_across_many_partitions(spark, tmp_path):
+    """Of a batch the later row wins, in any number of partitions, and of batches the later one."""
+    e = Engine(spark, f"file://{tmp_path}/db")
+    e.create_table("t", [("id", "int64"), ("v", "int64")], "id")
+    e.put("t", spark.range(0, 200, 1, 200).selectExpr("0L as id", "id as v"))
+    assert e.get("t", 0)["v"] == 199
+    e.put("t", spark.range(0, 3, 1, 1).selectExpr("0L as id", "id as v"))
+    assert e.get("t", 0)["v"] == 2
+
+
+def test_append_during_compaction_stays(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/db")
+    log = e.create_table("t", COLUMNS, "id")
+    e.put("t", USERS)
+    e.delete("t", [2])
+    write = log.files.write
+
+    def late(name, value):
+        write(name, value)
+        monkeypatch.setattr(log.files, "write", write)
+        log.put([(2, "bob", 1), (3, "late", 2)])
+
+    monkeypatch.setattr(log.files, "write", late)
+    log.compact()
+    want = [(1, "alice", 25), (2, "bob", 1), (3, "late", 2), (4, "diana", 12), (5, "eve", 22)]
+    assert sorted(map(tuple, log.view().collect())) == want
+    number = log._number()  # a writer that took its number and hasn't written yet
+    log.delete([4])
+    log.compact()
+    row = spark.createDataFrame([(4, {"batch": number, "part": 0, "row": 0}, False, 4, "early", 0)], log.log_schema)
+    log._place(row, f"data/{number:012d}")
+    assert sorted(map(tuple, log.view().collect())) == [x for x in want if x[0] != 4]
+    log.compact()
+    log.vacuum()
+    assert sorted(map(tuple, log.view().collect())) == [x for x in want if x[0] != 4] and len(log.files.names("base")) == 2 and not log.files.names("data")
+    assert not log.files.claim(f"numbers/{number:012d}")
+
+
+def test_stream_goes_on_after_compaction(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/db")
+    log = e.create_table("t", COLUMNS, "id")
+    q = follow(spark, log, f"{tmp_path}/out", f"{tmp_path}/cp", every="200 milliseconds")
+    try:
+        for rows in (USERS, [(1, "a", 1)]):
+            log.put(rows)
+        log.compact()
+        log.put([(2, "b", 2)])
+        log.delete([3])
+        q.processAllAvailable()
+        assert sorted(followed(spark, log, f"{tmp_path}/out").collect()) == sorted(log.view().collect())
+    finally:
+        q.stop()
+
+
+def test_reader_refreshes(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    e = Engine(spark, path)
+    e.create_table("a", COLUMNS, "id")
+    reader = Engine(spark, path, read_only=True)
+    e.create_table("b", COLUMNS, "id")
+    e.put("b", USERS)
+    with pytest.raises(EngineError):
+        reader.scan("b")
+    reader.refresh()
+    assert reader.scan("b").count() == 5 and reader.query("a").from_("b").filter("age", ">", 20).to_df().count() == 3
+    reader.close()
+    with pytest.raises(EngineError):
+        reader.scan("b")
+
+
+def test_stored_text_index(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    e = Engine(spark, path)
+    e.create_table("t", [("id", "int64"), ("body", "string")], "id")
+    e.put("t", [(1, "red apples fall"), (2, "green apple tree"), (3, None)])
+    e.fts_create_index("t", "body", stemming=True)
+    with pytest.raises(EngineError) as x:
+        e.fts_create_index("t", "body")
+    assert x.value.code == EXISTS
+    plain = TextIndex.build(e.scan("t"), "id", ["body"], stemming=True)
+    reader = Engine(spark, path, read_only=True)
+    for q in ("appl", "apples", "apple NOT red", '"green apple"', "re~1", "[a TO g]", ""):
+        assert sorted(map(tuple, reader.fts_search("t", "body", q).collect())) == sorted(map(tuple, plain.search(q).collect()))
+    assert sorted(r.term for r in reader.fts["t", "body"].prefix("a").collect()) == sorted(r.term for r in plain.prefix("a").collect())
+    e.fts_drop_index("t", "body")
+    with pytest.raises(EngineError):
+        Engine(spark, path).fts_search("t", "body", "apple")
+
+
+def test_engine_vectors(spark, tmp_path):
+    path = f"file://{tmp_path}/db"
+    e = Engine(spark, path)
+    with pytest.raises(EngineError) as x:
+        e.vec_count()
+    assert x.value.code == NOTFOUND
+    e.vec_create_index(16, metric="cosine")
+    with pytest.raises(EngineError):
+        e.vec_create_index(16)
+    e.vec_insert_text(1, "good day")
+    e.vec_insert_text_batch([(2, "far away"), (3, "good night"), (3, "other words")])
+    e.vec_insert_vector(4, [1.0] * 16)
+    with pytest.raises(EngineError) as x:
+        e.vec_insert_vector(5, [1.0] * 3)
+    assert x.value.code == INVAL and e.vec_count() == 4
+    assert e.vec_search_text("other words", 1).first().id == 3 and e.vec_search_text_filtered("good day", 1, lambda i: i != 1).first().id != 1
+    e.vec_flush()
+    e.vec_delete(2)
+    with pytest.raises(EngineError):
+        e.vec_delete(2)
+    e.vec_flush()
+    again = Engine(spark, path)
+    assert again.vec_count() == 3 and again.vectors.dim == 16 and again.vectors.metric == "cosine"
+    again.vec_set_embed(Embedder(16))
+    assert again.vec_search_text("good day", 1).first().id == 1
+    e.vec_destroy_index()
+    assert Engine(spark, path).vectors is None
+
+
+def test_engine_quantizer(spark):
+    e = Engine(spark).vec_create_index(4)
+    rows = spark.createDataFrame([(k, [float(v)] * 4) for k, v in ((1, 0), (2, 10), (3, 5), (3, 5))], "id long, embedding array<float>")
+    with pytest.raises(EngineError):
+        e.quant_train(rows)
+    e.quant_create("sq8")
+    with pytest.raises(EngineError):
+        e.quant_insert(rows)
+    e.quant_train(rows)
+    e.quant_insert(rows)
+    assert [r.id for r in e.quant_search([5.0] * 4, 2).collect()] == [3, 3] and e.vec_count() == 3
+    e.quant_destroy()
+    with pytest.raises(EngineError):
+        e.quant_search([1.0] * 4)
+
+
+def test_hybrid_lists(spark):
+    v = lambda *rows: spark.createDataFrame(list(rows), "id long, distance double")
+    f = lambda *rows: spark.createDataFrame(list(rows), "id long, score double")
+    assert [r.id for r in fuse(v(), f((1, 0.9), (2, 0.8))).collect()] == [1, 2] and [r.id for r in fuse(v((10, 0.5), (20, 0.8)), f()).collect()] == [10, 20]
+    assert fuse(v(), f()).count() == 0 and len(fuse(v(*[(k, k / 10) for k in range(5)]), f(), most=3).collect()) == 3
+    same = fuse(v((1, 0.1), (2, 0.2)), f((1, 0.9), (2, 0.8))).collect()
+    assert len(same) == 2 and same[0].score > same[1].score
+    assert {r.id for r in fuse(v((1, 0.1)), f((2, 0.9), (2, 0.9), (3, 0.7))).collect()} == {1, 2, 3}
+    scores = [r.score for r in fuse(v(*[(k, k / 10) for k in range(1, 11)]), f(*[(k, 1 / k) for k in range(5, 15)]), most=20).collect()]
+    assert scores == sorted(scores, reverse=True)
+
+
+def test_hybrid_search(spark):
+    e = Engine(spark).register("t", spark.createDataFrame([(1, "red apple"), (2, "green apple"), (3, "blue")], "id long, body string"), "id")
+    e.vec_create_index(2).vec_insert_batch([(1, [0.0, 0.0]), (3, [1.0, 1.0])])
+    e.fts_create_index("t", "body")
+    got = e.hybrid_search("t", "body", "apple red", [1.0, 1.0], 0).collect()
+    assert {r.id for r in got} == {1, 2, 3} and got[0].id == 1
+    assert e.hybrid_search("t", "body", "zzz", [1.0, 1.0]).first().id == 3
+
+
+def test_vectors_repeat_and_persist(spark, tmp_path):
+    i = vecs(spark, [(1, [0.0, 0.0])], dim=2, metric="ip")
+    new = spark.createDataFrame([(1, [1.0, 0.0]), (2, [3.0, 3.0]), (2, [2.0, 0.0])], "id long, embedding array<float>").coalesce(1)
+    path = f"file://{tmp_path}/v"
+    for _ in range(2):
+        i = i.insert(new).save(path)
+    back = VectorIndex.load(spark, path)
+    assert back.dim == 2 and back.metric == "ip" and sorted((r.id, r.embedding[0]) for r in back.df.collect()) == [(1, 1.0), (2, 2.0)]
+    with pytest.raises(EngineError):
+        back.search([1.0], 1)
+    with pytest.raises(EngineError):
+        VectorIndex.load(spark, f"file://{tmp_path}/none")
+
+
+def test_registered_ivf_knn(spark):
+    """Every query of the registered settings against brute force."""
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    got: dict = {}
+    for r in queries.QUERIES["ann_ivf_knn"](spark, d).collect():
+        got.setdefault(r.qid, {})[r.id] = r.distance
+    hits = 0
+    for q in ids[ids % 20 == 0].tolist():
+        dist = ((x - x[ids == q][0]) ** 2).sum(1)
+        assert len(got[q]) == 10 and all(abs(dist[ids == i][0] - v) < 1e-5 for i, v in got[q].items())
+        hits += len(set(got[q]) & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+    assert len(got) == (ids % 20 == 0).sum() and hits / (10 * len(got)) >= 0.9
+
+
+def test_ivf_changes(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((200, 4)).round(3)
+    i = IvfIndex(vecs(spark, [(k, v.tolist()) for k, v in enumerate(x)]), 6).save(f"file://{tmp_path}/ivf")
+    i = i.insert(spark.createDataFrame([(7, [9.0, 9.0, 9.0, 9.0]), (500, [9.0, 9.0, 9.0, 8.0])], "id long, embedding array<float>")).delete([8])
+    assert i.count().first()[0] == 200 and i.get(7).first().embedding[0] == 9 and not i.get(8).head(1)
+    assert [a.id for a in i.search([9.0] * 4, 2, 2).collect()] == [7, 500]
+    full = i.batch_knn(i.index.df.where("id < 30").withColumnRenamed("id", "qid"), 5, 6, block=7)
+    want = i.index.batch_knn(i.index.df.where("id < 30").withColumnRenamed("id", "qid"), 5)
+    assert sorted((a.qid, a.id) for a in full.collect()) == sorted((a.qid, a.id) for a in want.collect())
+    assert IvfIndex(vecs(spark, []).insert(spark.createDataFrame([], "id long, embedding array<float>"))).search([1.0], 3).count() == 0
+
+
+def brute_embedding(text, dim, ngram=3, seed=42):
+    """By the definition, one value at a time."""
+    cells = dim * 256
+    state, values = seed, []
+    for _ in range(cells * dim):
+        state = (state * 1103515245 + 12345) % 2**32
+        values.append(((state >> 16) & 0x7FFF) / 16384 - 1)
+    codes = [c for x in text or "" for c in (ord(x), 32)]
+    n, total = min(ngram, len(codes)), [0.0] * dim
+    for at in range(len(codes) - n + 1 if codes else 0):
+        h = 2166136261
+        for c in codes[at : at + n]:
+            for byte in c.to_bytes(4, "little"):
+                h = (h ^ byte) * 16777619 % 2**32
+        row = h % cells
+        total = [a + b for a, b in zip(total, values[row * dim : (row + 1) * dim])]
+    norm = math.sqrt(sum(a * a for a in total))
+    return [a / norm if norm else 0.0 for a in total]
+
+
+def test_embedding_and_text_search_by_definition(spark, tmp_path):
+    texts = ["a", "", None, "the thing of that", "été 漢字 \U0001f600 x", "the thing of this " * 9, "ab"]
+    got = Embedder(8).embed_all(texts)
+    want = [brute_embedding(t, 8) for t in texts]
+    assert np.allclose(got, want, atol=1e-6)
+    i = VectorIndex(spark.createDataFrame([], "id long, embedding array<float>"), 8, "cosine", Embedder(8)).insert_text(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    q = brute_embedding("the thing of that", 8)
+    near = sorted((1.0 if not any(v) else 1 - float(np.dot(v, q)), k) for k, v in enumerate(want))
+    found = [(r.id, r.distance) for r in i.search_text("the thing of that", 7).collect()]
+    assert [k for k, _ in found][0] == 3 and np.allclose([d for _, d in found], [d for d, _ in near], atol=1e-5)
+    assert [r.id for r in i.search_text("the thing of that", 2, F.col("id") % 2 == 0).collect()] == [k for _, k in near if k % 2 == 0][:2]
+    big = Embedder(256)  # rows of the matrix are made when touched
+    assert np.allclose(big.embed("abc"), big.embed_all(["x", "abc"])[1]) and math.isclose(float(np.linalg.norm(big.embed("abc"))), 1, abs_tol=1e-5)
+
+
+def test_registered_pq_by_brute_force(spark):
+    """Distances are those of the nearest centroids in each sub-space, taken one at a time."""
+    d = "/root/testdata/sf0.001"
+    df = queries.vectors(spark, d).df
+    q = Pq.train(df, 8)
+    rows = {r.id: np.array(r.embedding, np.float64) for r in df.collect()}
+    k = q.books.shape[2]
+    near = lambda v: np.concatenate([b[min(range(len(b)), key=lambda c: ((b[c] - v[s * k : (s + 1) * k]) ** 2).sum())] for s, b in enumerate(q.books)])
+    own = near(rows[1])
+    want = sorted((round(float(((near(v) - own) ** 2).sum()), 6), i) for i, v in rows.items())[:10]
+    got = sorted((r.distance, r.id) for r in queries.QUERIES["quant_pq_topk"](spark, d).collect())
+    assert np.allclose([a for a, _ in got], [a for a, _ in want], atol=2e-6)
+    assert Pq.train(df, 8, sample=50).codes_of(np.array(list(rows.values()))).shape == (len(rows), 8)
