@@ -7,6 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common as C
 
@@ -55,7 +56,7 @@ def item_words(text: bytes) -> list[bytes]:
     return text.translate(C.ITEM_WORDS).split()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are runs of letters and digits and non-ASCII characters, A-Z lower-cased.  Each ``window`` consecutive
@@ -63,7 +64,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     inside any occurrence is hit.  Null or empty texts and items have no words; an empty benchmark hits nothing;
     repeated items count once; items with a null id match but aren't counted or named; other columns are ignored.
     The benchmark is the query set: it goes over the documents in blocks of a bounded number of windows, so that
-    what is broadcast is bounded however large it grows; the text is read once for each block.
+    what is broadcast is bounded however large it grows; the text is read once for each block.  With ``carry`` the
+    result is the columns of docs, whatever their names, then _contaminated.
     """
     spark = docs.sparkSession
 
@@ -83,12 +85,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .groupBy("pattern").agg(F.collect_set("item_id").alias("items")), "leak-patterns",
     )
     blocks = max(1, -(-patterns.count() // block))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def searched(at: int) -> DataFrame:
-        own = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == at)
+    own, at, types = C.carried(docs, text_col, carry)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own)
+    if blocks > 1:
+        # Rows are numbered once and written: every block finds the same numbers.
+        slim = C.materialize(slim.withColumn("row", F.monotonically_increasing_id()), "leak-docs")
+    else:
+        slim = slim.withColumn("row", F.lit(0).cast("long"))
+    slim = slim.select("row", "doc_id", *types.fieldNames())
+    passed = types if carry else T.StructType()
+
+    def searched(part: int) -> DataFrame:
+        few = patterns if blocks == 1 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == part)
         by: dict[int, dict] = {}
-        for p, names in own.toLocalIterator():
+        for p, names in few.toLocalIterator():
             w = tuple(p.encode().split())
             by.setdefault(len(w), {})[w] = tuple(sorted(names))
         tables = spark.sparkContext.broadcast(by)
@@ -97,10 +107,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         def search(it):
             if not made:
                 made.extend(WuManber(p, m) for m, p in sorted(tables.value.items()))
-            schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
             for b in C.batches(it):
                 counts, spans, found = [], [], []
-                for x in C.texts(b.column(1)):
+                for x in C.texts(b.column(2 + at)):
                     w = item_words(x)
                     hits = sorted((start, start + s.m, owners) for s in made for start, owners in s.search(w))
                     flat: list[int] = []
@@ -112,9 +121,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                     counts.append(len(w))
                     spans.append(flat)
                     found.append(sorted({o for _, _, owners in hits for o in owners}))
-                yield C.table(schema, b.column(2), b.column(0), counts, spans, found)
+                new = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[2:][: len(passed)], b.column(0), b.column(1), *new], [*passed.fieldNames(), "row", "doc_id", "n_words", "spans", "items"])
 
-        return slim.withColumn("row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("long")).mapInArrow(search, "row long, doc_id long, n_words long, spans array<long>, items array<string>")
+        return slim.mapInArrow(search, C.fields(passed, "row long, doc_id long, n_words long, spans array<long>, items array<string>"))
 
     def digest(it):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -133,15 +143,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     out = searched(0)
     if blocks > 1:
-        # Only documents with hits carry arrays; ids of rows keep repeated documents apart.
-        every = C.materialize(out.select("row", "doc_id", "n_words"), "leak-rows")
-        hits = out
-        for at in range(blocks):
-            part = C.materialize((out if at == 0 else searched(at)).where(F.size("spans") > 0), "leak-hits")
-            hits = part if at == 0 else hits.unionByName(part)
+        # Only documents with hits carry arrays; numbers of rows keep repeated documents apart.
+        every = C.materialize(out, "leak-rows")
+        hits = every.where(F.size("spans") > 0).select("row", "spans", "items")
+        for part in range(1, blocks):
+            hits = hits.unionByName(C.materialize(searched(part).where(F.size("spans") > 0).select("row", "spans", "items"), "leak-hits"))
         hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
-        out = every.join(hits, "row", "left").select("doc_id", "n_words", none("spans", "array<long>"), none("items", "array<string>"))
+        out = every.drop("spans", "items").join(hits, "row", "left").select(*passed.fieldNames(), "doc_id", "n_words", none("spans", "array<long>"), none("items", "array<string>"))
+    if carry:
+        return out.select(*C.restored(docs), (F.size("spans") > 0).alias("_contaminated"))
     return out.select("doc_id", "n_words", "spans", "items").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 
 FINGERPRINT_BITS = 64
+#: Rows of one filter, and of one bucket where filters merge.
+FILTER_ROWS, BUCKET_ROWS = 2_000_000, 2_000_000
+#: Bits of the Bloom filter, as a power of two, at most (32 MB), and of a page of it.
+BLOOM_BITS, PAGE_BITS = 28, 16
 
 
 class CountingQuotientFilter:
@@ -83,18 +87,63 @@ class CountingQuotientFilter:
         return cls(q, occupied, ends, remainders, counts)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 20, bound: int = C.BROADCAST_ROWS) -> DataFrame:
+def bloom_places(fingerprints: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each fingerprint in a Bloom filter of 2 ** bits bits, a row each."""
+    x = fingerprints.view(np.uint64)
+    low = np.uint64(64 - bits)
+    return np.stack([(x * np.uint64(m)) >> low for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)])
+
+
+def _bloom(again: DataFrame, most: int) -> np.ndarray:
+    """A Bloom filter of fingerprints, of 16 bits each but never more than 2 ** most bits: its pages are made where the data is."""
+    bits = min(most, max(PAGE_BITS, (16 * max(1, again.count()) - 1).bit_length()))
+
+    def pages(it):
+        schema = pa.schema([("page", pa.int64()), ("bits", pa.binary())])
+        held: dict[int, np.ndarray] = {}
+        for b in it:
+            at = np.unique(bloom_places(b.column(0).to_numpy(), bits)).astype(np.int64)
+            page = at >> PAGE_BITS
+            cut = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+            for a, z in zip(cut, [*cut[1:], len(at)]):
+                own = held.setdefault(int(page[a]), np.zeros(1 << PAGE_BITS, bool))
+                own[at[a:z] & ((1 << PAGE_BITS) - 1)] = True
+            if len(held) > 256:
+                yield C.table(schema, list(held), [np.packbits(x).tobytes() for x in held.values()])
+                held.clear()
+        if held:
+            yield C.table(schema, list(held), [np.packbits(x).tobytes() for x in held.values()])
+
+    def joined(it):
+        schema = pa.schema([("page", pa.int64()), ("bits", pa.binary())])
+        held: dict[int, np.ndarray] = {}
+        for b in it:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x, np.uint8)
+                held[k] = held[k] | x if k in held else x
+        if held:
+            yield C.table(schema, list(held), [x.tobytes() for x in held.values()])
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    size = 1 << PAGE_BITS - 3
+    parts = C.parts(again.sparkSession)
+    for r in again.mapInArrow(pages, "page long, bits binary").repartition(parts, "page").mapInArrow(joined, "page long, bits binary").toLocalIterator():
+        out[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: int = 20, bound: int = C.BROADCAST_BYTES, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, fingerprint.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest id stays.  Null text counts
     as empty.  A null id never stays beside another id; if a group has null ids only, keep_id is null and its rows
     are kept.  Rows that repeat the id that stays are all marked kept.  An empty table gives no rows; other columns
     are ignored.  Fingerprints with a count of one need no look at any other text; the others' bytes are grouped as
-    they are, so a collision of fingerprints can't join two texts.
+    they are, so a collision of fingerprints can't join two texts.  A Bloom filter of bounded size, of the fingerprints
+    counted more than once, keeps other texts from travelling; what it lets through by chance is sorted out by a join.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = C.parts(spark)
 
     def digest(it):
         schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("text_sha256", pa.string())])
@@ -104,12 +153,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield C.table(schema, b.column(0), fp, [hashlib.sha256(x).hexdigest() for x in norm])
 
     ids = C.materialize(slim.mapInArrow(digest, "doc_id long, fingerprint long, text_sha256 string"), "dedup-ids")
+    buckets = max(C.parts(spark), -(-ids.count() // BUCKET_ROWS))
 
     def filters(it):
+        """A filter for each partition, or for each FILTER_ROWS rows of a larger one, in parts for the buckets."""
         schema = pa.schema([("bucket", pa.int32()), ("filter", pa.binary())])
+        held, size = [], 0
+
+        def out():
+            parts = [(k, part.pack()) for k, part in CountingQuotientFilter.build(np.concatenate(held), q).split(buckets)]
+            return C.table(schema, *map(list, zip(*parts)))
+
         for b in it:
-            for k, part in CountingQuotientFilter.build(b.column(0).to_numpy().view(np.uint64), q).split(n):
-                yield C.table(schema, [k], [part.pack()])
+            held.append(b.column(0).to_numpy().view(np.uint64))
+            size += b.num_rows
+            if size > FILTER_ROWS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
     def merged(t: pa.Table) -> pa.Table:
         first, *rest = [CountingQuotientFilter.unpack(x) for x in t.column("filter").to_pylist()]
@@ -120,27 +182,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids.select("fingerprint").mapInArrow(filters, "bucket int, filter binary")
         .groupBy("bucket").applyInArrow(merged, "fingerprint long"), "dedup-again",
     )
-    few = again.count() <= bound
-    known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in again.collect()], np.int64))) if few else None
+    shared = spark.sparkContext.broadcast(_bloom(again, bloom_bits))
 
     def suspects(it):
         schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64()), ("norm", pa.binary())])
+        bloom = shared.value
+        bits = len(bloom).bit_length() + 2
         for b in C.batches(it):
             norm = [x.lower() for x in C.texts(b.column(1))]
             fp = np.array([xxhash.xxh3_64_intdigest(x) for x in norm], np.uint64).view(np.int64)
-            take = np.isin(fp, known.value) if known is not None else np.ones(len(fp), bool)
+            at = bloom_places(fp, bits)
+            take = (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).all(0)
             if take.any():
                 yield C.table(schema, b.column(0).filter(pa.array(take)), fp[take], [x for x, y in zip(norm, take) if y])
 
     routed = slim.mapInArrow(suspects, "doc_id long, fingerprint long, norm binary")
-    if not few:
-        routed = routed.join(again, "fingerprint", "left_semi")
-    groups = C.materialize(
+    groups = (
         routed.groupBy("fingerprint", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("fingerprint", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "dedup-groups",
+        .select("fingerprint", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        .join(again, "fingerprint", "left_semi")
     )
-    # One row per group on the right; a hot group on the left is split by AQE's skew join where it isn't broadcast.
-    return ids.join(C.checked(groups, bound), ["fingerprint", "text_sha256"], "left").select(
+    groups = C.materialize(groups, "dedup-groups")
+    return C.join_groups(ids, groups, ["fingerprint", "text_sha256"], "group_size", 128, bound).select(
         "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("group_size").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +33,10 @@ HEAD_ONLY = frozenset("meta link base title style script template noscript".spli
 SCOPES = frozenset("table td th caption button html".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: Inputs that show their value as a label.
+BUTTONS = frozenset("submit button reset".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -140,13 +144,27 @@ def _close(stack: Open, tag: str, implied: bool = False) -> None:
 
 
 def visible(node: Node) -> bool:
-    """False for elements that browsers don't show: those of INVISIBLE, hidden ones and hidden inputs."""
+    """False for elements that browsers leave out with all that is in them: those of INVISIBLE and hidden ones."""
     a = node.attrs
-    if node.tag in INVISIBLE or node.tag == "dialog" and "open" not in a or node.tag == "input":
+    if node.tag in INVISIBLE or node.tag == "dialog" and "open" not in a:
         return False
     return not a or not ("hidden" in a or "style" in a and HIDDEN.search(a["style"]))
 
 
+def shown(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text is seen: hidden visibility is inherited until one inside is visible again."""
+    m = VISIBILITY.search(node.attrs["style"]) if "style" in node.attrs else None
+    word = m[1].lower() if m else ""
+    return False if word in ("hidden", "collapse") else True if word in ("visible", "initial") else inherited
+
+
+def width(s: str) -> int:
+    """Columns that a line takes: East Asian wide characters two, combining marks none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in s)
+
+
 class Lines:
     """Output of one flow: a page or a table cell."""
 
@@ -212,32 +230,45 @@ def _number(s: str, default: int) -> int:
     return int(s) if re.fullmatch(r"-?\d{1,9}", s.strip()) else default
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, columns spanned) as aligned columns, two spaces apart."""
-    widths: list[int] = []
-    for row in rows:
-        k = 0
-        for lines, span in row:
-            widths += [0] * (k + span - len(widths))
-            if span == 1:
-                widths[k] = max([widths[k], *map(len, lines)])
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines, columns spanned, rows spanned) as aligned columns, two spaces apart.
+
+    A cell of several rows is written in the first and keeps its columns free below.
+    """
+    taken: dict[int, int] = {}  # by column: the row up to which a cell from above has it
+    placed: list[list[tuple[int, list[str], int]]] = []
+    for i, row in enumerate(rows):
+        k, own = 0, []
+        for lines, span, down in row:
+            while taken.get(k, 0) > i:
+                k += 1
+            own.append((k, lines, span))
+            if down > 1:
+                taken |= dict.fromkeys(range(k, k + span), i + down)
             k += span
-    for row in rows:
-        k = 0
-        for lines, span in row:
+        placed.append(own)
+    widths = [0] * max([0, *(k + span for row in placed for k, _, span in row)])
+    for row in placed:
+        for k, lines, span in row:
+            if span == 1:
+                widths[k] = max([widths[k], *map(width, lines)])
+    for row in placed:
+        for k, lines, span in row:
             if span > 1:
-                lack = max([0, *map(len, lines)]) - sum(widths[k : k + span]) - 2 * (span - 1)
+                lack = max([0, *map(width, lines)]) - sum(widths[k : k + span]) - 2 * (span - 1)
                 widths[k + span - 1] += max(0, lack)
-            k += span
+    lefts = [0]
+    for w in widths:
+        lefts.append(lefts[-1] + w + 2)
     out = []
-    for row in rows:
-        for i in range(max([0, *(len(lines) for lines, _ in row)])):
-            k, cells = 0, []
-            for lines, span in row:
-                width = sum(widths[k : k + span]) + 2 * (span - 1)
-                cells.append((lines[i] if i < len(lines) else "").ljust(width))
-                k += span
-            out.append("  ".join(cells).rstrip())
+    for row in placed:
+        for i in range(max([0, *(len(lines) for _, lines, _ in row)])):
+            line, at = [], 0
+            for k, lines, _ in row:
+                if i < len(lines) and lines[i]:
+                    line += [" " * (lefts[k] - at), lines[i]]
+                    at = lefts[k] + width(lines[i])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -247,17 +278,22 @@ def render(root: Node) -> str:
     tables: list[list[list]] = []
     lists: list[list] = []
     pre = 0
-    walk = [(root, iter(root.children))]
+    walk = [(root, iter(root.children), True)]
     while walk:
-        node, children = walk[-1]
+        node, children, seen = walk[-1]
+        closed = node.tag == "details" and "open" not in node.attrs
         for child in children:
             if isinstance(child, str):
-                if node.tag not in ("table", "tr", "tbody", "thead", "tfoot") or child.strip():
+                if seen and not closed and (node.tag not in ("table", "tr", "tbody", "thead", "tfoot") or child.strip()):
                     out.text(child, pre > 0)
                 continue
-            if not visible(child):
+            if not visible(child) or closed and child.tag != "summary":
                 continue
             tag = child.tag
+            if tag == "input":
+                if shown(child, seen) and child.attrs.get("type", "").lower() in BUTTONS and child.attrs.get("value"):
+                    out.text(child.attrs["value"], pre > 0)
+                continue
             if tag == "br":
                 out.line(0, True)
                 continue
@@ -265,7 +301,7 @@ def render(root: Node) -> str:
                 continue
             if tag == "hr":
                 out.line(2)
-                out.text("---", False)
+                out.text("---" if shown(child, seen) else "", False)
                 out.line(2)
                 continue
             if tag in ("td", "th") and tables:
@@ -295,8 +331,8 @@ def render(root: Node) -> str:
                 elif tag == "pre":
                     pre += 1
             elif tag == "q":
-                out.text('"', pre > 0)
-            walk.append((child, iter(child.children)))
+                out.text('"' if shown(child, seen) else "", pre > 0)
+            walk.append((child, iter(child.children), shown(child, seen)))
             break
         else:
             walk.pop()
@@ -306,7 +342,8 @@ def render(root: Node) -> str:
             if tag in ("td", "th") and flows:
                 lines = out.rows()
                 out, lists, pre = flows.pop()
-                tables[-1][-1].append((lines, min(1000, max(1, _number(node.attrs.get("colspan", ""), 1)))))
+                across, down = (_number(node.attrs.get(x, ""), 1) for x in ("colspan", "rowspan"))
+                tables[-1][-1].append((lines, min(1000, max(1, across)), 65_534 if down == 0 else min(65_534, max(1, down))))
             elif tag in BLOCKS:
                 if tag == "table":
                     for x in _table(tables.pop()):
@@ -327,7 +364,7 @@ def render(root: Node) -> str:
                     pre -= 1
                 out.line(1 if tag in ("ul", "ol", "menu") and lists else BLOCKS[tag])
             elif tag == "q":
-                out.text('"', pre > 0)
+                out.text('"' if seen else "", pre > 0)
     return "\n".join(out.rows())
 
 

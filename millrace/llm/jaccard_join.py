@@ -14,28 +14,37 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common as C
 from millrace.llm.components import ONE_TASK, Forest, components
-from millrace.llm.wordhash import Hashes, grams, groups
+from millrace.llm.wordhash import Hashes, grams, groups, hashed
 
 #: Similar: PERCENT * union <= 100 * intersection.
 GRAM, PERCENT = 3, 70
+#: Texts whose words are told apart at once.
+BATCH = 1024
 #: Words of a chunk whose n-grams are counted before they travel; rows and n-grams of a block of the matrix.
 CHUNK_WORDS, BLOCK_ROWS, BLOCK_GRAMS = 1_000_000, 1024, 400_000
-#: N-grams in a run of the product.
-RUN = 4096
-
-
-def shingles(text: bytes, hashes: Hashes, gram: int = GRAM) -> np.ndarray:
-    """The sorted set of a text's n-grams as 64-bit hashes; fewer words than n are one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.of(words)
-    return np.unique(grams(h, gram) if len(h) >= gram else grams(h, len(h)) ^ np.uint64(len(h)))
+#: N-grams in a run of the product, and the rows up to which an n-gram's pairs are counted one by one.
+RUN, FEW_ROWS = 4096, 48
+
+
+def shingle_sets(column: pa.Array, hashes: Hashes, gram: int = GRAM) -> list[np.ndarray]:
+    """The sorted set of each text's n-grams as 64-bit hashes; fewer words than n are one shingle."""
+    h, sizes = hashed(column, hashes, True)
+    ends = np.cumsum(sizes)
+    g = grams(h, gram)
+    out = []
+    for a, z in zip((ends - sizes).tolist(), ends.tolist()):
+        if z - a >= gram:
+            out.append(np.unique(g[a : z - gram + 1]))
+        else:
+            out.append(grams(h[a:z], z - a) ^ np.uint64(z - a) if z > a else np.zeros(0, np.uint64))
+    return out
 
 
 def need(n: int | np.ndarray, percent: int = PERCENT):
@@ -65,44 +74,72 @@ def product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
     at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
     remains = np.bincount(row, minlength=len(sets))
-    for start in range(0, total, RUN):
-        a, z = np.searchsorted(gram, [start, start + RUN])
+    # By runs of n-grams, the rare ones first: those of few rows add up pair by pair, the others as a dense slab.
+    each = np.bincount(gram, minlength=total)
+    rank = np.argsort(each, kind="stable")
+    place = np.empty(total, np.int64)
+    place[rank] = np.arange(total)
+    order = np.argsort(place[gram], kind="stable")
+    gram, row, each = place[gram][order], row[order], each[rank]
+    starts = np.cumsum(each) - each
+    start = 0
+    while start < total:
+        stop = min(total, start + RUN)
+        if each[start] <= FEW_ROWS:
+            stop = min(stop, int(np.searchsorted(each, FEW_ROWS, "right")))
+        a, z = int(starts[start]), int(starts[stop - 1] + each[stop - 1])
         g, r = gram[a:z] - start, row[a:z]
-        rows, columns = at_left[r], at_right[r]
-        m = np.zeros((len(left), min(RUN, total - start)), np.float32)
-        m[rows[rows >= 0], g[rows >= 0]] = 1
-        if left is right:
-            w = m
+        if each[start] <= FEW_ROWS:
+            size = each[start:stop][g]
+            i = np.repeat(np.arange(len(g)), size)
+            j = (starts[start:stop][g] - a)[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+            x, y = at_left[r[i]], at_right[r[j]]
+            both = (x >= 0) & (y >= 0)
+            overlap += np.bincount(x[both] * len(right) + y[both], minlength=overlap.size).reshape(overlap.shape).astype(np.int32)
         else:
-            w = np.zeros((len(right), m.shape[1]), np.float32)
-            w[columns[columns >= 0], g[columns >= 0]] = 1
-        i, j = np.flatnonzero(alive.any(1) & (m.any(1))), np.flatnonzero(alive.any(0) & w.any(1))
-        if len(i) and len(j):
-            overlap[np.ix_(i, j)] += (m[i] @ w[j].T).astype(np.int32)
+            rows, columns = at_left[r], at_right[r]
+            m = np.zeros((len(left), stop - start), np.float32)
+            m[rows[rows >= 0], g[rows >= 0]] = 1
+            if left is right:
+                w = m
+            else:
+                w = np.zeros((len(right), m.shape[1]), np.float32)
+                w[columns[columns >= 0], g[columns >= 0]] = 1
+            i, j = np.flatnonzero(alive.any(1) & m.any(1)), np.flatnonzero(alive.any(0) & w.any(1))
+            if len(i) and len(j):
+                overlap[np.ix_(i, j)] += (m[i] @ w[j].T).astype(np.int32)
         remains -= np.bincount(r, minlength=len(sets))
         alive &= overlap + np.minimum(remains[left][:, None], remains[right][None, :]) >= wanted
         if not alive.any():
             break
+        start = stop
     i, j = np.nonzero(alive & (overlap >= wanted))
     return left[i], right[j]
 
 
-def _classes(docs: DataFrame, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row_key, set_key, n) and classes (set_key, row_key, n, members, least, cid)."""
+def _classes(docs: DataFrame, own: list, at: int, types: T.StructType, id_col: str, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, set_key, n and the carried columns) and classes (set_key, row, n, members, first, cid)."""
 
     def keys(it):
-        schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64())])
         hashes = Hashes()
-        for b in C.batches(it):
-            sets = [shingles(x, hashes, gram) for x in C.texts(b.column(2))]
-            yield C.table(schema, b.column(0), b.column(1), [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], [len(s) for s in sets])
-
-    rows = C.materialize(docs.mapInArrow(keys, "doc_id long, row_key long, set_key binary, n long"), "join-rows")
-    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.count("*").alias("members"), F.min("doc_id").alias("least"))
+        row = TaskContext.get().partitionId() << 40
+        for b in C.batches(it, BATCH):
+            sets = shingle_sets(b.column(1 + at), hashes, gram)
+            names = [f"__c{k}" for k in range(len(b.columns) - 1)]
+            key = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary())
+            new = [b.column(0), pa.array(row + np.arange(len(sets))), key, pa.array([len(s) for s in sets], pa.int64())]
+            row += len(sets)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], [*names, "doc_id", "row", "set_key", "n"])
+
+    # A row's number is its own once it is written: repeated rows are told apart, and every step reads the same ones.
+    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own).mapInArrow(keys, C.fields(types, "doc_id long, row long, set_key binary, n long"))
+    rows = C.materialize(numbered, "join-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("members"), F.min(first).alias("first"))
     return rows, C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
 
 
-def _survivors(docs: DataFrame, gram: int, percent: int, buckets: int) -> DataFrame:
+def _survivors(texts: DataFrame, gram: int, percent: int, buckets: int) -> DataFrame:
     """(key): the first 8 bytes of the set keys of classes with enough n-grams that other classes have."""
 
     def send(it):
@@ -140,8 +177,7 @@ def _survivors(docs: DataFrame, gram: int, percent: int, buckets: int) -> DataFr
             sets.clear()
 
         for b in C.batches(it):
-            for x in C.texts(b.column(0)):
-                s = shingles(x, hashes, gram)
+            for s in shingle_sets(b.column(0), hashes, gram):
                 if len(s):
                     key = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
                     held += len(s) if key not in sets else 0
@@ -178,7 +214,7 @@ def _survivors(docs: DataFrame, gram: int, percent: int, buckets: int) -> DataFr
             who, count = np.unique(hit, return_counts=True)
             yield C.table(schema, who, np.zeros(len(who), np.int64), count)
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, key long, n long, shared long, singles binary, many binary")
+    sent = texts.mapInArrow(send, "bucket int, key long, n long, shared long, singles binary, many binary")
     # Rows of bucket -1 tell a class's size and what its chunk shares; they spread by their key.
     placed = sent.repartition(buckets, F.when(F.col("bucket") < 0, F.col("key")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket")
     told = placed.mapInArrow(answer, "key long, n long, shared long")
@@ -197,27 +233,29 @@ def _unfive(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, bound: int = C.BROADCAST_ROWS, one_task: int = ONE_TASK, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, bound: int = C.BROADCAST_BYTES, one_task: int = ONE_TASK, block_rows: int = BLOCK_ROWS, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, n_similar, component_id, class_size.
 
     A set is the distinct ``gram``-word shingles, A-Z lower-cased; rows link when 100 * intersection >= percent *
     union.  n_similar counts the other rows linked directly, copies included; component_id is the least id that
     links reach.  Null, empty and white texts have no shingles and link with nothing; repeated rows are copies of
     each other; a null id is linked like any other, but is a component's id only if it has no other; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored.  With ``carry`` the result is the columns of docs, whatever their names,
+    then _first: true for one row of each component, of those with its least id, and for rows without shingles.
+    Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
     n = C.parts(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text")).select("doc_id", "row_key", "text")
-    rows, classes = _classes(slim, gram)
-    alive = _survivors(slim, gram, percent, n)
-    left = C.materialize(classes.withColumn("key", _signed_head("set_key")).join(alive, "key", "left_semi").select("row_key", "cid", "members"), "join-left")
-    texts = slim.select("row_key", "text").join(C.checked(left, bound), "row_key")
+    own, at, types = C.carried(docs, text_col, carry)
+    rows, classes = _classes(docs, own, at, types, id_col, gram)
+    alive = _survivors(rows.where("n > 0").select(f"__c{at}"), gram, percent, n)
+    left = C.materialize(classes.withColumn("key", _signed_head("set_key")).join(alive, "key", "left_semi").select("row", "cid", "members"), "join-left")
+    texts = rows.select("row", F.col(f"__c{at}").alias("text")).join(C.checked(left, 24, bound), "row")
 
     def sets_of(it):
         schema = pa.schema([("cid", pa.int64()), ("members", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
         hashes = Hashes()
         for b in C.batches(it):
-            sets = [shingles(x, hashes, gram) for x in C.texts(b.column(0))]
+            sets = shingle_sets(b.column(0), hashes, gram)
             yield C.table(schema, b.column(1), b.column(2), [len(s) for s in sets], [s.tobytes() for s in sets])
 
     sets = C.materialize(texts.select("text", "cid", "members").mapInArrow(sets_of, "cid long, members long, n long, grams binary"), "join-sets")
@@ -290,11 +328,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = found.where("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("links"))
     final = components(found.where("kind = 1").select("a", "b"), one_task)
     known = classes.join(links, "cid", "left").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    known = C.materialize(known.select("set_key", "least", "members", F.coalesce("links", F.lit(0)).alias("links"), "root"), "join-known")
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = C.materialize(known.select("set_key", "first", "members", F.coalesce("links", F.lit(0)).alias("links"), "root"), "join-known")
+    firsts = known.groupBy("root").agg(F.min("first").alias("first"))
+    if carry:
+        stay = firsts.select(F.col("first.row").alias("row")).union(rows.where("n = 0").select("row")).withColumn("_first", F.lit(True))
+        return rows.join(stay, "row", "left").select(*C.restored(docs), F.coalesce("_first", F.lit(False)).alias("_first"))
+    ids = firsts.select("root", F.col("first.doc_id").alias("component_id"))
     by_set = C.materialize(known.join(ids, "root").select("set_key", "members", "links", "component_id"), "join-sets-known")
-    # One row per class on the right: beyond the bound AQE splits the rows of a hot class on the left.
-    return rows.join(C.checked(by_set, bound), "set_key", "left").select(
+    return C.join_groups(rows.select("doc_id", "n", "set_key"), by_set, ["set_key"], "members", 48, bound).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.col("links") + F.col("members") - 1, F.lit(0)).cast("long").alias("n_similar"),
         F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("members", F.lit(1)).cast("long").alias("class_size"),
     )

@@ -2,10 +2,15 @@
 
 Frequent words have classes by frequency and a softmax within their class; all other words, unknown ones too, have
 classes by shape and their smoothed share of the class within it.  A word is frequent from a count that grows with the
-square root of the training tokens, so the model's vocabulary grows with the corpus and has no fixed size.
-Counts come from every training document and so does the model: a short warm-up on a bounded sample finds the
-place from where each partition then runs truncated backpropagation over all its training documents; the partitions'
-parameters are averaged by tokens.  Every document is scored from its first to its last token.
+square root of the training tokens, so the model's vocabulary grows with the corpus, up to what may be broadcast.
+
+1. Words are counted over all training documents.
+2. Texts are coded once: the inputs of the model, what the broadcast counts say of a document, and its rare words.
+3. A warm-up on a bounded sample finds the place from where every learner then runs truncated backpropagation over all
+   its training documents.  The learners' moves are averaged, each block of words by the task that it goes to.
+4. Every document is scored from its first to its last token.
+
+A word is known by its 64-bit hash (xxh3) from the counts on.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,15 +31,31 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 
 #: Words counted at least sqrt(training tokens) / HEAD_SHARE times have an output and an input of their own: HEAD_SHARE *
-#: sqrt(training tokens) words at most.
+#: sqrt(training tokens) words at most, and of these the BROADCAST_WORDS most frequent.
 HEAD_SHARE = 32
-#: Words whose counts are broadcast (20 bytes each), or all frequent ones if they are more; the rest join by shuffle.
+#: Words whose counts are broadcast (20 bytes each), the model's among them (65 float32 each); the rest join by shuffle.
 BROADCAST_WORDS = 262_144
-HIDDEN, STREAMS, WINDOW, CHUNK_WORDS = 16, 384, 16, 4_500_000
-#: Training documents of the warm-up, at most; its passes; learning rates of the warm-up and the sweep.
-WARM_DOCS, WARM_STEPS, WARM_RATE, RATE = 1500, 150, 0.015, 0.004
+HIDDEN, STREAMS, WINDOW = 16, 1024, 16
+#: Words of texts that run together; of a window of scoring; and of a text that is scored with others as long.
+CHUNK_WORDS, SCORED, LONG_WORDS = 2_500_000, 16_384, 2048
+#: Windows that learn from a chunk, at least: a small one has fewer streams.
+WINDOWS = 64
+#: About as many training tokens are read by the warm-up, WARM_PASSES times, and never more than twice as many.
+WARM_TOKENS, WARM_PASSES = 400_000, 2
+#: Step and least scale of Adagrad.
+RATE, LEAST = 0.3, 0.1
+#: A learner for so many square roots of the training tokens, at most: what learners send grows as the corpus does.
+LEARNER_ROOTS = 100
+#: Rows whose softmax over classes is taken at once.
+ROWS = 256
+#: Words of a block of the model.
+BLOCK = 1024
 SMOOTH, SEED, END = 0.1, 5, b""
 SHAPES = 24
+#: Texts whose words are told apart at once.
+BATCH = 2048
+#: Words that a task keeps codes of.
+CACHE_WORDS = 600_000
 
 
 def shape(word: bytes) -> int:
@@ -43,36 +65,52 @@ def shape(word: bytes) -> int:
     return kind * 4 + 2 * (not word.isascii()) + (len(word) > 9)
 
 
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-class Ids(dict):
-    """Words to their rank by count, or BROADCAST_WORDS + shape beyond the broadcast ones."""
+class Codes(dict):
+    """Words to their rank by count, or beyond the broadcast ones to a number of their own while this holds them."""
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
         self.order = np.argsort(hashes)
         self.sorted = hashes[self.order]
         self.beyond = len(hashes)
+        self.forget()
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        k = int(np.searchsorted(self.sorted, h))
-        value = int(self.order[k]) if k < self.beyond and self.sorted[k] == h else self.beyond + shape(word)
-        if len(self) > 600_000:
-            self.clear()
-        self[word] = value
-        return value
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.code = np.zeros(0, np.int64)
+        self.hashes, self.shapes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) + np.float32(0.5) * np.tanh(np.float32(0.5) * x)
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self.code) + len(self.new)
+        self.new.append(word)
+        return k
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Ranks, or ``beyond`` plus a place in ``hashes`` and ``shapes``."""
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, self.new), np.uint64, len(self.new)).view(np.int64)
+            if self.beyond:
+                k = np.minimum(np.searchsorted(self.sorted, h), self.beyond - 1)
+                known = self.sorted[k] == h
+                code = np.where(known, self.order[k], 0)
+            else:
+                known, code = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+            rare = np.flatnonzero(~known)
+            code[rare] = self.beyond + len(self.hashes) + np.arange(len(rare))
+            self.hashes = np.r_[self.hashes, h[rare]]
+            self.shapes = np.r_[self.shapes, np.fromiter((shape(self.new[i]) for i in rare.tolist()), np.int64, len(rare))]
+            self.code = np.r_[self.code, code]
+            self.new = []
+        return self.code[at]
 
 
 class Gru:
-    """Parameters and passes.  Inputs: a word's id below ``head``, head + shape, or head + SHAPES at a text's start."""
+    """Parameters and passes.  Inputs: a word's id below ``head``, head + shape, or head + SHAPES at a text's start.
+
+    Both outputs have their bias as the weight of a constant last unit.
+    """
 
     def __init__(self, counts: np.ndarray, shape_counts: np.ndarray, seed: int = SEED):
         r = np.random.default_rng(seed)
@@ -81,218 +119,345 @@ class Gru:
         mass = np.cumsum(root) / max(1e-9, root.sum())
         # k classes of equal mass of roots cost k + root.sum() ** 2 / counts.sum() / k values a token: the least of it.
         self.classes = k = max(1, round(float(root.sum() / np.sqrt(max(1e-9, counts.sum()))))) if n else 1
-        self.word_class = np.minimum((mass * k - 1e-9).astype(np.int64), k - 1) if n else np.zeros(0, np.int64)
+        word_class = np.minimum((mass * k - 1e-9).astype(np.int64), k - 1) if n else np.zeros(0, np.int64)
         # Words are by falling count and classes by mass of them, so each class is one range of words.
-        self.starts = np.searchsorted(self.word_class, np.arange(k + 1))
-        classes = np.r_[np.bincount(self.word_class, counts, k), shape_counts] + 0.5
+        self.starts = np.searchsorted(word_class, np.arange(k + 1))
         self.head = n
+        self.class_of = np.r_[word_class, k + np.arange(SHAPES)].astype(np.int32)
+        classes = np.r_[np.bincount(word_class, counts, k), shape_counts] + 0.5
+        f = np.float32
         self.p = {
-            "x": (r.standard_normal((n + SHAPES + 1, 3 * h)) * 0.1).astype(np.float32), "u": (r.standard_normal((h, 3 * h)) / np.sqrt(h)).astype(np.float32),
-            "wc": np.zeros((h, k + SHAPES), np.float32), "bc": np.log(classes / classes.sum()).astype(np.float32),
-            "ww": np.zeros((n, h), np.float32), "bw": np.log(counts + 0.5).astype(np.float32),
-        }
-        self.begin()
-
-    def begin(self) -> None:
-        """Before learning: moments, and how often each input was fed since."""
-        self.m = {k: np.zeros_like(v) for k, v in self.p.items()}
+            "x": (r.standard_normal((n + SHAPES + 1, 3 * h)) * 0.1).astype(f),
+            "u": (r.standard_normal((h, 3 * h)) / np.sqrt(h) * np.r_[np.full(2 * h, 0.5), np.ones(h)]).astype(f),
+            "wc": np.c_[np.zeros((k + SHAPES, h)), np.log(classes / classes.sum())].astype(f),
+            "ww": np.c_[np.zeros((n, h)), np.log((counts + 0.5) / np.maximum(classes[word_class], 1))].astype(f),
+        }
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.t, self.fed = 0, np.zeros(len(self.p["x"]), np.float32)
+        self.fed = np.zeros(n + SHAPES + 1, np.float32)
 
-    def step(self, h: np.ndarray, x: np.ndarray):
-        k = HIDDEN
-        hu = h @ self.p["u"]
-        zr = _sigmoid(x[:, : 2 * k] + hu[:, : 2 * k])
-        z, r, hn = zr[:, :k], zr[:, k:], hu[:, 2 * k :]
-        n = np.tanh(x[:, 2 * k :] + r * hn)
-        return n + z * (h - n), z, r, n, hn
+    def forward(self, fed: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool):
+        """(states with the constant unit, what ``backward`` needs if it is to be kept, the last state) of fed (time, stream).
 
-    def output(self, h: np.ndarray, target: np.ndarray, learn: bool):
-        """Natural log probabilities of target words (ids as for input), and gradients of their negative mean.
-
-        A gradient is (rows, values): of the words only those whose class occurs.
+        Gates are half of one and a hyperbolic tangent, their inputs and weights being half of a sigmoid's.  Within a
+        step a row is a unit, and a column a stream.
+        """
+        wide, live = fed.shape
+        k, x, half = HIDDEN, self.p["x"], np.float32(0.5)
+        ut = np.ascontiguousarray(self.p["u"].T)
+        zr, hu, n, before = (np.empty((wide if keep else 1, m, live), np.float32) for m in (2 * k, 3 * k, k, k))
+        out = np.ones((wide, live, k + 1), np.float32)
+        some = reset.any(1)
+        new = np.empty((k, live), np.float32)
+        for t in range(wide):
+            i = t if keep else 0
+            own, g, m, b = zr[i], hu[i], n[i], before[i]
+            b[:] = h
+            if some[t]:
+                b[:, reset[t]] = 0
+            xt = np.ascontiguousarray(x[fed[t]].T)
+            np.dot(ut, b, out=g)
+            np.add(xt[: 2 * k], g[: 2 * k], out=own)
+            np.tanh(own, out=own)
+            own *= half
+            own += half
+            np.multiply(own[k:], g[2 * k :], out=m)
+            m += xt[2 * k :]
+            np.tanh(m, out=m)
+            np.subtract(b, m, out=new)
+            new *= own[:k]
+            new += m
+            out[t, :, :k] = new.T
+            h = new
+        return out, (zr, hu, n, before, reset, some), new.copy()
+
+    def backward(self, every: np.ndarray, kept: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of inputs and of u from those of the states; no further back than the window."""
+        zr, hu, n, before, reset, some = kept
+        wide, k, live = n.shape
+        one, two = np.float32(1), np.float32(2)
+        u, du = self.p["u"], np.zeros_like(self.p["u"])
+        dx = np.empty((wide, live, 3 * k), np.float32)
+        carry = np.zeros((k, live), np.float32)
+        a, c, back = (np.empty((m, live), np.float32) for m in (k, 2 * k, 3 * k))
+        for t in range(wide - 1, -1, -1):
+            own, m = zr[t], n[t]
+            d = every[t].T + carry
+            np.subtract(one, own, out=c)
+            np.multiply(m, m, out=a)
+            np.subtract(one, a, out=a)
+            a *= c[:k]
+            a *= d  # of the candidate's input
+            c *= own
+            c *= two
+            gates = back[: 2 * k]
+            np.subtract(before[t], m, out=back[:k])
+            back[:k] *= d
+            np.multiply(a, hu[t, 2 * k :], out=back[k : 2 * k])
+            gates *= c
+            dx[t, :, : 2 * k] = gates.T
+            dx[t, :, 2 * k :] = a.T
+            np.multiply(a, own[k:], out=back[2 * k :])
+            du += before[t] @ back.T
+            np.dot(u, back, out=carry)
+            d *= own[:k]
+            carry += d
+            if some[t]:
+                carry[:, reset[t]] = 0
+        return dx.reshape(-1, 3 * k), du
+
+    def output(self, hs: np.ndarray, target: np.ndarray, gw: np.ndarray | None = None, safe: bool = False):
+        """Natural log probabilities of targets, which ascend; with gw, gradients of minus their sum too.
+
+        Fills gw, of "ww", and returns those of "wc" and of hs.  safe: rows are shifted by their greatest first.
         """
-        cls = np.where(target < self.head, self.word_class[np.minimum(target, max(0, self.head - 1))] if self.head else 0, self.classes + target - self.head)
-        logit = h @ self.p["wc"] + self.p["bc"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1, keepdims=True)
-        at = np.arange(len(h))
-        out = logit[at, cls] - np.log(total[:, 0])
-        grads = None
-        if learn:
-            d = e / total
-            d[at, cls] -= 1
-            d /= len(h)
-            grads = [("wc", slice(None), h.T @ d), ("bc", slice(None), d.sum(0))]
-            dh = d @ self.p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            a, z = int(self.starts[c]), int(self.starts[c + 1])
-            own = order[cuts[c] : cuts[c + 1]]
-            if z - a < 2:
+        n = len(hs)
+        cls = self.class_of[target]
+        wc, ww = self.p["wc"], self.p["ww"]
+        out = np.einsum("ij,ij->i", hs, wc[cls])
+        known = int(np.searchsorted(target, self.head))
+        inner, dh = np.ones(n, np.float32), np.empty_like(hs)
+        flip, gc = np.ascontiguousarray(wc.T), np.zeros_like(wc)
+        ones = np.ones(max(len(wc), *np.diff(self.starts)), np.float32)
+        room = np.empty((ROWS, len(wc)), np.float32)
+        for i in range(0, n, ROWS):  # as many rows at once as the cache holds
+            hc = hs[i : i + ROWS]
+            e = np.dot(hc, flip, out=room[: len(hc)])
+            if safe:
+                top = e.max(1)
+                e -= top[:, None]
+                out[i : i + ROWS] -= top
+            np.exp(e, out=e)
+            s = e @ ones[: len(wc)]
+            out[i : i + ROWS] -= np.log(s)
+            if gw is not None:
+                s = (1 / s)[:, None]
+                gc += e.T @ (hc * s)
+                d = np.dot(e, wc, out=dh[i : i + ROWS])
+                d *= s
+        cuts = np.searchsorted(cls[:known], np.arange(self.classes + 1)).tolist()
+        starts = self.starts.tolist()
+        for c in range(self.classes):
+            a, z, i, j = starts[c], starts[c + 1], cuts[c], cuts[c + 1]
+            if i == j:
+                if gw is not None:
+                    gw[a:z] = 0
                 continue
-            hc = h[own]
-            w = hc @ self.p["ww"][a:z].T + self.p["bw"][a:z]
-            w -= w.max(1, keepdims=True)
-            we = np.exp(w)
-            s = we.sum(1, keepdims=True)
-            k = np.arange(len(own))
-            t = target[own] - a
-            out[own] += w[k, t] - np.log(s[:, 0])
-            if learn:
-                d = we / s
-                d[k, t] -= 1
-                d /= len(h)
-                grads += [("ww", slice(a, z), d.T @ hc), ("bw", slice(a, z), d.sum(0))]
-                dh[own] += d @ self.p["ww"][a:z]
-        return (out, grads, dh) if learn else out
-
-    def update(self, grads: list[tuple], rate: float) -> None:
-        """Moves the rows that have gradients; the others, and their moments, stay."""
-        self.t += 1
-        for k, rows, g in grads:
-            g = np.clip(g, -1, 1)
-            m, v = self.m[k][rows], self.v[k][rows]
-            m = m + np.float32(0.1) * (g - m)
-            v = v + np.float32(0.01) * (g * g - v)
-            self.m[k][rows], self.v[k][rows] = m, v
-            self.p[k][rows] -= np.float32(rate / (1 - 0.9**self.t)) * m / (np.sqrt(v / np.float32(1 - 0.99**self.t)) + np.float32(1e-6))
-
-    def run(self, texts: list[np.ndarray], rate: float | None = None, most: int | None = None) -> np.ndarray:
+            hc, w = hs[i:j], ww[a:z]
+            e = hc @ w.T
+            if safe:
+                top = e.max(1)
+                e -= top[:, None]
+                out[i:j] -= top
+            np.exp(e, out=e)
+            s = e @ ones[: z - a]
+            inner[i:j] = s
+            if gw is not None:
+                s = (1 / s)[:, None]
+                np.dot(e.T, hc * s, out=gw[a:z])
+                e = e @ w
+                e *= s
+                dh[i:j] += e
+        wt = ww[target[:known]]
+        out[:known] += np.einsum("ij,ij->i", hs[:known], wt) - np.log(inner[:known])
+        if not safe and not np.isfinite(out).all():
+            return self.output(hs, target, gw, True)
+        if gw is None:
+            return out
+        dh -= wc[cls]
+        dh[:known] -= wt
+        cut = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        gc[cls[cut]] -= np.add.reduceat(hs, cut)
+        if known:
+            t = target[:known]
+            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            gw[t[cut]] -= np.add.reduceat(hs[:known], cut)
+        return out, gc, dh
+
+    def run(self, texts: list[np.ndarray], rate: float | None = None) -> np.ndarray:
         """Log probability of each text (ids with the end); with a rate, learns from each window after scoring it.
 
         Texts lie end to end in streams that advance together; a text's start resets its stream's state, and
-        nothing else does, so a text of any length is read in windows with its state carried across.
+        nothing else does, so a text of any length is read in windows with its state carried across.  To learn from,
+        the texts are cut into streams of one length: a text that goes on in another stream starts there without state.
+        Memory is some bytes a token, however long a text is.
         """
+        lengths = np.array([len(x) for x in texts], np.int64)
+        size = int(lengths.sum())
+        if rate is None:
+            k = max(1, min(STREAMS, int((lengths > 0).sum())))
+            order, starts, sizes = self._placed(lengths, k)
+        else:
+            k = max(1, min(STREAMS, size // (WINDOW * WINDOWS)))
+            order, sizes = np.arange(len(texts)), np.full(k, size // k, np.int64)
+            sizes[: size % k] += 1
+            starts = np.cumsum(sizes) - sizes
+        first = np.cumsum(lengths[order]) - lengths[order]
+        some = lengths[order] > 0
+        target = np.concatenate([texts[i] for i in order.tolist()] or [np.zeros(0)]).astype(np.int32)
+        fed, begins = np.empty(size, np.int32), np.zeros(size, bool)
+        fed[1:] = target[:-1]
+        fed[first[some]] = self.head + SHAPES
+        begins[first[some]] = True
+        begins[starts[sizes > 0]] = True
+        logs = np.zeros(size, np.float32)
+        h = np.zeros((HIDDEN, k), np.float32)
+        gw = np.zeros_like(self.p["ww"]) if rate is not None else None
+        longest, at = int(sizes.max(initial=0)), 0
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            while at < longest:
+                live = int(np.searchsorted(-sizes, -at, "left"))
+                wide = WINDOW if rate is not None else min(512, max(WINDOW, SCORED // live))
+                wide = min(wide, longest - at)
+                # The first ``whole`` streams go on to the window's end; of the others what lies beyond theirs is left out.
+                flat = np.minimum(starts[None, :live] + np.arange(at, at + wide)[:, None], size - 1)
+                whole = int(np.searchsorted(-sizes, -(at + wide), "right"))
+                f = fed[flat]
+                hs, kept, h = self.forward(f, begins[flat], h[:, :live], rate is not None)
+                hs, flat = hs.reshape(-1, HIDDEN + 1), flat.ravel()
+                goal = target[flat]
+                if whole == live:
+                    rows = np.argsort(goal)
+                else:
+                    rows = np.flatnonzero((np.arange(at, at + wide)[:, None] < sizes[None, :live]).ravel())
+                    rows = rows[np.argsort(goal[rows])]
+                found = self.output(hs[rows], goal[rows], gw)
+                if rate is None:
+                    logs[flat[rows]] = found
+                else:
+                    out, gc, dh = found
+                    logs[flat[rows]] = out
+                    every = np.zeros((len(hs), HIDDEN), np.float32)
+                    every[rows] = dh[:, :HIDDEN]
+                    dx, du = self.backward(every.reshape(wide, live, HIDDEN), kept)
+                    words = f.ravel()
+                    order_ = np.argsort(words)
+                    words = words[order_]
+                    cut = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+                    gx = np.add.reduceat(dx[order_], cut)
+                    own = words[cut]
+                    self.fed[own] += np.diff(np.r_[cut, len(words)])
+                    # A window of few tokens moves the model as little.
+                    self.update(np.float32(rate * min(1.0, len(rows) / (k * WINDOW))), gc, gw, own, gx, du)
+                at += wide
         total = np.zeros(len(texts))
-        lengths = [len(x) for x in texts]
-        k = max(1, min(STREAMS, len(texts)))
+        if size:
+            total[order[some]] = np.add.reduceat(logs.astype(np.float64), first[some])
+        return total
+
+    @staticmethod
+    def _placed(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whole texts in k streams, the longest first and each to the shortest stream: (order of texts, where streams start, their sizes), the longest stream first."""
         heap = [(0, s) for s in range(k)]
         streams: list[list[int]] = [[] for _ in range(k)]
-        for i in sorted(range(len(texts)), key=lambda i: -lengths[i]):
+        for i in np.argsort(-lengths, kind="stable").tolist():
             size, s = heapq.heappop(heap)
             streams[s].append(i)
-            heapq.heappush(heap, (size + lengths[i], s))
-        streams = sorted((s for s in streams if s), key=lambda s: -sum(lengths[i] for i in s))
-        ends = np.array([sum(lengths[i] for i in s) for s in streams], np.int64)
-        first = self.head + SHAPES
-        wide = -(-int(ends.max(initial=0)) // WINDOW) * WINDOW
-        targets, whose_all, fed_all = np.full((len(streams), wide), -1, np.int32), np.full((len(streams), wide), -1, np.int32), np.full((len(streams), wide), first, np.int32)
-        for s, own in enumerate(streams):
-            at = 0
-            for i in own:
-                n = lengths[i]
-                targets[s, at : at + n] = texts[i]
-                whose_all[s, at : at + n] = i
-                fed_all[s, at + 1 : at + n] = texts[i][:-1]
-                at += n
-        h = np.zeros((len(streams), HIDDEN), np.float32)
-        for done, at in enumerate(range(0, wide, WINDOW)):
-            if most is not None and done >= most:
-                break
-            live = int((ends > at).sum())
-            target, whose, fed = (x[:live, at : at + WINDOW] for x in (targets, whose_all, fed_all))
-            h = h[:live]
-            hs, kept = [], []
-            for t in range(WINDOW):
-                reset = fed[:, t] == first
-                h = np.where(reset[:, None], np.float32(0), h)
-                before = h
-                h, z, r, n, hn = self.step(h, self.p["x"][fed[:, t]])
-                hs.append(h)
-                if rate is not None:
-                    kept.append((before, reset, z, r, n, hn))
-            flat = np.stack(hs, 1).reshape(-1, HIDDEN)
-            mask = target.ravel() >= 0
-            if rate is None:
-                total += np.bincount(whose.ravel()[mask], self.output(flat[mask], target.ravel()[mask], False), len(texts))
-                continue
-            out, grads, dh = self.output(flat[mask], target.ravel()[mask], True)
-            total += np.bincount(whose.ravel()[mask], out, len(texts))
-            every = np.zeros_like(flat)
-            every[mask] = dh
-            every = every.reshape(live, WINDOW, HIDDEN)
-            carry = np.zeros((live, HIDDEN), np.float32)
-            dx = np.zeros((live, WINDOW, 3 * HIDDEN), np.float32)
-            du = np.zeros_like(self.p["u"])
-            for t in range(WINDOW - 1, -1, -1):
-                before, reset, z, r, n, hn = kept[t]
-                d = every[:, t] + carry
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (before - n) * z * (1 - z)
-                dr = dn * hn * r * (1 - r)
-                dx[:, t] = np.concatenate([dz, dr, dn], 1)
-                back = np.concatenate([dz, dr, dn * r], 1)
-                du += before.T @ back
-                carry = (d * z + back @ self.p["u"].T) * ~reset[:, None]
-            words = fed.ravel()
-            order = np.argsort(words, kind="stable")
-            words = words[order]
-            cut = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-            fed_words, gx = words[cut], np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], cut)
-            self.fed[fed_words] += np.diff(np.r_[cut, len(words)])
-            # The last windows of the longest streams are few tokens: they move the model as little.
-            self.update([*grads, ("x", fed_words, gx), ("u", slice(None), du)], rate * live / len(streams))
-        return total
-
-    def pack(self) -> bytes:
-        return pickle.dumps((self.head, self.classes, self.word_class, self.starts, self.p, self.fed))
+            heapq.heappush(heap, (size + int(lengths[i]), s))
+        sizes = np.array([sum(int(lengths[i]) for i in s) for s in streams], np.int64)
+        by = np.argsort(-sizes, kind="stable")
+        return np.array([i for s in by.tolist() for i in streams[s]], np.int64), np.cumsum(sizes[by]) - sizes[by], sizes[by]
+
+    def update(self, rate: np.float32, gc: np.ndarray, gw: np.ndarray, fed: np.ndarray, gx: np.ndarray, du: np.ndarray) -> None:
+        """Adagrad; of the inputs only the rows that were fed move."""
+        p, v = self.p, self.v
+        for k, g in (("wc", gc), ("ww", gw), ("u", du)):
+            for at in range(0, len(g), BLOCK):
+                own, moments, to = g[at : at + BLOCK], v[k][at : at + BLOCK], p[k][at : at + BLOCK]
+                s = own * own
+                moments += s
+                np.sqrt(moments, out=s)
+                s += np.float32(LEAST)
+                np.divide(own, s, out=s)
+                s *= rate
+                to -= s
+        own = v["x"][fed] + gx * gx
+        v["x"][fed] = own
+        p["x"][fed] -= rate * gx / (np.sqrt(own) + np.float32(LEAST))
+
+    def move(self, block: int, by: np.ndarray) -> None:
+        """Adds what ``_averaged`` gives of a block."""
+        if block < 0:
+            n = self.p["u"].size
+            self.p["u"] += by[:n].reshape(self.p["u"].shape)
+            self.p["wc"] += by[n:].reshape(self.p["wc"].shape)
+            return
+        own = slice(block * BLOCK, (block + 1) * BLOCK)
+        x, w = self.p["x"][own], self.p["ww"][own]
+        x += by[: x.size].reshape(x.shape)
+        w += by[x.size :].reshape(w.shape)
+
+    def pack(self, learning: bool = True) -> bytes:
+        return pickle.dumps((self.head, self.classes, self.starts, self.class_of, self.p, self.v if learning else {}))
 
     @classmethod
     def unpack(cls, data: bytes) -> Gru:
         g = cls.__new__(cls)
-        g.head, g.classes, g.word_class, g.starts, g.p, fed = pickle.loads(data)
-        g.begin()
-        g.fed = fed
+        g.head, g.classes, g.starts, g.class_of, g.p, g.v = pickle.loads(data)
+        g.fed = np.zeros(len(g.p["x"]), np.float32)
         return g
 
 
-def _inputs(ids: np.ndarray, head: int, shapes: np.ndarray) -> np.ndarray:
-    """Ranks and shapes beyond the broadcast words to the model's inputs."""
-    out = ids.copy()
-    beyond = ids >= len(shapes)
-    out[beyond] = head + ids[beyond] - len(shapes)
-    tail = ~beyond & (ids >= head)
-    out[tail] = head + shapes[ids[tail]]
-    return out
+def _weighted(g: Gru, was: Gru, n: int):
+    """The rows that a learner sends: (block, tokens, fed, moves): of shared parameters first, then of each block of words."""
+    move = {k: (g.p[k] - was.p[k]).astype(np.float32) for k in g.p}
+    yield -1, n, b"", np.concatenate([move["u"].ravel(), move["wc"].ravel()]).tobytes()
+    for b, at in enumerate(range(0, len(move["x"]), BLOCK)):
+        own = slice(at, at + BLOCK)
+        yield b, n, g.fed[own].astype("<f4").tobytes(), np.concatenate([move["x"][own].ravel(), move["ww"][own].ravel()]).astype("<f2").tobytes()
+
+
+def _averaged(it):
+    """Adds up the moves of each block: an input's by how often it was fed, all others by tokens."""
+    sums: dict[int, list] = {}
+    for batch in it:
+        for b, n, fed, data in zip(*(c.to_pylist() for c in batch.columns)):
+            x = np.frombuffer(data, "<f4" if b < 0 else "<f2").astype(np.float64)
+            w = np.full(len(x), float(n))
+            if b >= 0:
+                own = np.frombuffer(fed, "<f4") + 1e-6 * n
+                w[: 3 * HIDDEN * len(own)] = np.repeat(own, 3 * HIDDEN)
+            if b not in sums:
+                sums[b] = [w * x, w]
+            else:
+                sums[b][0] += w * x
+                sums[b][1] += w
+    if sums:
+        schema = pa.schema([("block", pa.int32()), ("data", pa.binary())])
+        yield C.table(schema, list(sums), [(s / np.maximum(w, 1e-30)).astype("<f4").tobytes() for s, w in sums.values()])
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    The model's words are those frequent enough (HEAD_SHARE), or the ``head`` most frequent ones if that is given.
-    A-Z are lower-cased; a text's tokens are its words and one end.  Documents whose crc32(doc_id as text) mod 10
-    is 0 are held out from counts and model.  Null text counts as empty: its end only; a null id counts as held
-    out; repeated rows count each; if nothing is left to learn from, both scores are those of an unknown token; an
-    empty table gives no rows; other columns are ignored.
+    The model's words are those frequent enough (HEAD_SHARE), or the ``head`` most frequent ones if that is given, and
+    never more than ``broadcast_words``.  A-Z are lower-cased; a text's tokens are its words and one end.  Documents
+    whose crc32(doc_id as text) mod 10 is 0 are held out from counts and model.  Words are told apart by a 64-bit hash.
+    Null text counts as empty: its end only; a null id counts as held out; repeated rows count each; a text of any
+    length is scored as a whole; if nothing is left to learn from, base_score is 0 and score that of the untrained
+    model; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     held = F.pmod(F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)), F.lit(10)) == 0
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    train = slim.where(~F.col("held_out")).select("text")
 
     def count(it):
         schema = pa.schema([("w", pa.int64()), ("shape", pa.int32()), ("c", pa.int64())])
         own: Counter = Counter()
-        size = 0
 
         def out():
-            return C.table(schema, [word_hash(w) for w in own], [shape(w) for w in own], list(own.values()))
-
-        for b in C.batches(it):
-            for x in C.texts(b.column(0)):
-                w = x.lower().split()
-                own.update(w)
-                own[END] += 1
-                size += len(w)
+            return C.table(schema, np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)).view(np.int64), list(map(shape, own)), list(own.values()))
+
+        for b in C.batches(it, BATCH):
+            at, _, words = C.words_of(b.column(0))
+            own.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist())))
+            own[END] += b.num_rows
             if len(own) > 400_000:
                 yield out()
                 own.clear()
         if own:
             yield out()
 
+    train = slim.where(~F.col("held_out")).select("text")
     counts = C.materialize(train.mapInArrow(count, "w long, shape int, c long").groupBy("w").agg(F.first("shape").alias("shape"), F.sum("c").alias("c")), "lm-counts")
     by_shape = {r["shape"]: (r["v"], r["n"]) for r in counts.groupBy("shape").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()}
     vocabulary, tokens = sum(v for v, _ in by_shape.values()), sum(n for _, n in by_shape.values())
@@ -301,7 +466,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     least, size = None, 0
     for r in counts.groupBy("c").agg(F.count("*").alias("k")).orderBy(F.col("c").desc()).toLocalIterator():
         size += r["k"]
-        if size > broadcast_words and (head is not None or r["c"] < enough):
+        if size > broadcast_words:
             break
         least = r["c"]
     top = counts.where(F.col("c") >= least if least is not None else F.lit(False)).toPandas().sort_values(["c", "w"], ascending=[False, True])
@@ -316,116 +481,117 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     tail_low = np.log10(tail_n + SMOOTH * (tail_v + 1))
     words = spark.sparkContext.broadcast((hashes, shapes, top_c))
 
-    def coded(ids: Ids, texts: list[bytes]) -> list[np.ndarray]:
-        get = ids.__getitem__
-        return [np.fromiter(map(get, x.lower().split() + [END]), np.int64) for x in texts]
-
-    def learn(model: bytes, rate: float, steps: int | None):
-        def run(it):
-            h, s, _ = words.value
-            ids, g, seen = Ids(h), Gru.unpack(model), 0
-            g.begin()
-            held_texts: list[np.ndarray] = []
-            for b in C.batches(it):
-                held_texts += [_inputs(x, n_head, s) for x in coded(ids, C.texts(b.column(0)))]
-                if sum(map(len, held_texts)) > CHUNK_WORDS:
-                    g.run(held_texts, rate, steps)
-                    seen += sum(map(len, held_texts))
-                    held_texts = []
-            if held_texts:
-                g.run(held_texts, rate, steps)
-                seen += sum(map(len, held_texts))
-            if seen:
-                yield pa.RecordBatch.from_pydict({"n": [seen], "model": [g.pack()]})
-
-        return run
-
-    # The average over partitions, by tokens; an input's by how often it was fed, as partitions without a word learn nothing
-    # of it.  Parameters add up in a tree of reducers, never more than one model per partial sum.
-    def averaged(models: DataFrame) -> bytes | None:
-        def add(it):
-            total, weight, fed, first = None, 0, 0, None
-            for b in it:
-                for n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    g = Gru.unpack(m)
-                    first = first or g
-                    own = g.fed + 1e-6 * n
-                    total = {k: v * (own[:, None] if k == "x" else n) + (total[k] if total else 0) for k, v in g.p.items()}
-                    weight, fed = weight + n, fed + g.fed
-            if first:
-                first.p = {k: (v / ((fed + 1e-6 * weight)[:, None] if k == "x" else weight)).astype(np.float32) for k, v in total.items()}
-                first.fed = fed
-                yield pa.RecordBatch.from_pydict({"n": [weight], "model": [first.pack()]})
-
-        models = C.materialize(models, "lm-models")
-        some = models.repartition(max(1, round(models.count() ** 0.5))).mapInArrow(add, "n long, model binary").coalesce(1).mapInArrow(add, "n long, model binary").collect()
-        return some[0]["model"] if some else None
-
-    model = Gru(top_c[:n_head].astype(np.float64), tail_n).pack()
-    sample = train.orderBy(F.xxhash64("text")).limit(WARM_DOCS).repartition(1)
-    model = averaged(sample.mapInArrow(learn(model, WARM_RATE, WARM_STEPS), "n long, model binary")) or model
-    model = averaged(train.mapInArrow(learn(model, RATE, None), "n long, model binary")) or model
-    shared = spark.sparkContext.broadcast(model)
-
-    def score(it):
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("w", pa.int64()), ("shape", pa.int32()), ("n", pa.int64())])
+    def code(it):
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()), ("ids", pa.binary()), ("w", pa.int64()), ("shape", pa.int32()), ("n", pa.int64())])
         h, s, c = words.value
-        ids, g = Ids(h), Gru.unpack(shared.value)
-        base = np.r_[np.log10(c + SMOOTH) - base_low, np.zeros(SHAPES)]
-        within = np.where(np.arange(len(h)) < n_head, 0.0, np.log10(c + SMOOTH) - tail_low[s]) if len(h) else np.zeros(0)
-        within = np.r_[within, np.zeros(SHAPES)]
+        codes, top_n = Codes(h), len(h)
+        base_of = np.log10(c + SMOOTH) - base_low
+        within_of = np.where(np.arange(top_n) < n_head, 0.0, np.log10(c + SMOOTH) - tail_low[s]) if top_n else np.zeros(0)
+        inputs = np.where(np.arange(top_n) < n_head, np.arange(top_n), n_head + s)
         row = TaskContext.get().partitionId() << 40
-        held_rows: list[tuple] = []
+        for b in C.batches(it, BATCH):
+            if not b.num_rows:
+                continue
+            at, sizes, words_ = C.words_of(b.column(2))
+            each = codes.of([*words_, END])
+            ids = np.insert(each[at], np.cumsum(sizes), each[-1])
+            sizes = sizes + 1
+            starts = np.cumsum(sizes) - sizes
+            rare = np.flatnonzero(ids >= top_n)
+            common = ids < top_n
+            at = np.where(common, ids, 0)
+            fed = inputs[at] if top_n else np.zeros(len(ids), np.int64)
+            known = np.add.reduceat(common.astype(np.int64), starts)
+            base, within = (np.add.reduceat(np.where(common, x[at], 0.0) if top_n else np.zeros(len(ids)), starts) for x in (base_of, within_of))
+            own = ids[rare] - top_n
+            fed[rare] = n_head + codes.shapes[own]
+            data, ends = fed.astype("<i4").tobytes(), 4 * (starts + sizes)
+            rows = row + np.arange(len(sizes))
+            yield C.table(schema, rows, b.column(0), b.column(1), sizes, known, base, within, [data[4 * a : z] for a, z in zip(starts.tolist(), ends.tolist())], *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32(), pa.int64())))
+            if len(rare):
+                pair, n = np.unique((np.searchsorted(starts, rare, "right") - 1 << 32) | own, return_counts=True)
+                own = pair & 0xFFFFFFFF
+                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                yield C.table(schema, row + (pair >> 32), *(pa.nulls(len(pair), t) for t in types), codes.hashes[own], codes.shapes[own].astype(np.int32), n)
+            row += len(sizes)
+            if len(codes) > CACHE_WORDS:
+                codes.forget()
+
+    coded = C.materialize(slim.mapInArrow(code, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double, ids binary, w long, shape int, n long"), "lm-coded")
+    texts = coded.where("w is null")
+    train_ids = texts.where(~F.col("held_out"))
+
+    def chunks(batches, column: int, apart: bool):
+        """(rows, arrays of ids), together about CHUNK_WORDS; apart: long texts with others as long, else in their order."""
+        held: list[tuple[list, list, int]] = [([], [], 0), ([], [], 0)]
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                long = pc.greater(pc.binary_length(part.column(column)), 4 * LONG_WORDS)
+                for kind, own in ((0, part.filter(pc.invert(long))), (1, part.filter(long))) if apart else ((0, part),):
+                    rows, ids, size = held[kind]
+                    rows.append(own.drop_columns([own.schema.names[column]]))
+                    new = [np.frombuffer(x, "<i4") for x in own.column(column).to_pylist()]
+                    ids += new
+                    held[kind] = rows, ids, size + sum(map(len, new))
+                    if held[kind][2] > CHUNK_WORDS:
+                        yield rows, ids
+                        held[kind] = [], [], 0
+        for rows, ids, _ in held:
+            if ids:
+                yield rows, ids
+
+    model = Gru(top_c[:n_head].astype(np.float64), tail_n)
+
+    def warm(it):
         held_texts: list[np.ndarray] = []
-
-        def out():
-            nonlocal row
-            logs = g.run(held_texts) / np.log(10)
-            rows, ws, ss, ns, at = [], [], [], [], []
-            for k, ((d, hold, tail), x, lp) in enumerate(zip(held_rows, held_texts, logs)):
-                rows.append((row + k, d, hold, len(x), 0, 0.0, float(lp), None, None, None))
-                for w, n in tail.items():
-                    ws.append(word_hash(w))
-                    ss.append(shape(w))
-                    ns.append(n)
-                    at.append(row + k)
-            row += len(rows)
-            yield C.table(schema, *map(list, zip(*rows)))
-            if ws:
-                none = [None] * len(ws)
-                yield C.table(schema, at, none, none, none, none, none, none, ws, ss, ns)
-
-        for b in C.batches(it):
-            raw = C.texts(b.column(2))
-            for d, hold, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw):
-                tokens_ = x.lower().split() + [END]
-                x = np.fromiter(map(ids.__getitem__, tokens_), np.int64, len(tokens_))
-                held_rows.append((d, hold, Counter(tokens_[i] for i in np.flatnonzero(x >= len(h)).tolist())))
+        size = 0
+        for _, own in chunks(it, 0, False):
+            for x in own:
+                x = x[: 2 * WARM_TOKENS - size]
                 held_texts.append(x)
-            if sum(map(len, held_texts)) > CHUNK_WORDS:
-                ranks, held_texts = held_texts, [_inputs(x, n_head, s) for x in held_texts]
-                yield from _finish(out(), ranks, base, within, len(h))
-                held_rows, held_texts = [], []
-        if held_texts:
-            ranks, held_texts = held_texts, [_inputs(x, n_head, s) for x in held_texts]
-            yield from _finish(out(), ranks, base, within, len(h))
-
-    scored = C.materialize(slim.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, w long, shape int, n long"), "lm-scores")
-    rare = scored.where("w is not null").select("row", "w", "shape", "n").join(counts.select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+                size += len(x)
+        if size:
+            for _ in range(WARM_PASSES):
+                model.run(held_texts, RATE)
+            yield pa.RecordBatch.from_pydict({"model": [model.pack()]})
+
+    if tokens:
+        million = 1_000_000
+        sample = train_ids.where(F.pmod(F.xxhash64("row"), F.lit(million)) < max(1, math.ceil(million * min(1.0, WARM_TOKENS / tokens))))
+        found = sample.select("row", "ids").repartition(1).sortWithinPartitions("row").select("ids").mapInArrow(warm, "model binary").collect()
+        model = Gru.unpack(found[0][0]) if found else model
+        begun = spark.sparkContext.broadcast(model.pack())
+
+        def learn(it):
+            was = Gru.unpack(begun.value)
+            g, seen = Gru.unpack(begun.value), 0
+            for _, own in chunks(it, 0, False):
+                g.run(own, RATE)
+                seen += sum(map(len, own))
+            if seen:
+                for b, n, fed, data in _weighted(g, was, seen):
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "n": [seen], "fed": [fed], "data": [data]})
+
+        learners = max(1, math.ceil(math.sqrt(tokens) / LEARNER_ROOTS))
+        moves = train_ids.select("ids").coalesce(learners).mapInArrow(learn, "block int, n long, fed binary, data binary")
+        blocks = len(model.p["x"]) // BLOCK + 2
+        for r in moves.repartition(min(C.parts(spark), blocks), "block").mapInArrow(_averaged, "block int, data binary").toLocalIterator():
+            model.move(r["block"], np.frombuffer(r["data"], "<f4"))
+    shared = spark.sparkContext.broadcast(model.pack(False))
+
+    def score(it):
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        g = Gru.unpack(shared.value)
+        for rows, own in chunks(it, 7, True):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            total = t.column(6).to_numpy() + g.run(own) / math.log(10)
+            yield C.table(schema, *(t.column(k).combine_chunks() for k in range(6)), total)
+
+    own = texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "within", "ids").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rare = coded.where("w is not null").select("row", "w", "shape", "n").join(counts.select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     low = F.element_at(F.array(*[F.lit(float(x)) for x in tail_low]), F.col("shape") + 1)
     share = F.log10(F.col("c") + F.lit(SMOOTH))
     sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (share - F.lit(float(base_low)))).alias("b"), F.sum(F.col("n") * (share - low)).alias("s"))
-    own = scored.where("w is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return own.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
-
-
-def _finish(batches, ranks: list[np.ndarray], base: np.ndarray, within: np.ndarray, known: int):
-    """Puts in what the broadcast counts say of each document; rows of rare words pass."""
-    first = next(batches)
-    columns = {f.name: first.column(k) for k, f in enumerate(first.schema)}
-    columns["n_known"] = pa.array([int((x < known).sum()) for x in ranks], pa.int64())
-    columns["base"] = pa.array([float(base[x].sum()) for x in ranks], pa.float64())
-    columns["score"] = pa.array(columns["score"].to_numpy() + np.array([within[x].sum() for x in ranks]), pa.float64())
-    yield pa.RecordBatch.from_arrays(list(columns.values()), schema=first.schema)
-    yield from batches

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-WEIGHTS, MOST, SALTS, SEED = (5, 2, 1), 3, 1024, "mix-1"
+#: SALTS is prime, so that strided ids spread.
+WEIGHTS, MOST, SALTS, SEED = (5, 2, 1), 3, 1021, "mix-1"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,8 +54,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a null source is a source of its own and comes last; null ids come first in their group; repeated rows are
     documents of their own; sources without words have target 0 and take nothing.  Other columns are ignored.
     """
-    salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1))
+    # Rows of null ids, which only differ by source and size, are spread before all others.
     key = [row_col] if row_col else []
+    salt = F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), -1 - F.pmod(F.col(row_col) if row_col else F.monotonically_increasing_id(), F.lit(SALTS)))
     sized = C.materialize(docs.select(*key, F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size")).withColumn("salt", salt), "mix-sizes")
     sources = C.materialize(source_targets(sized, weights, most, seed), "mix-targets")
     # The counts before each (source, size, salt): first of sizes, one row per distinct size, then of salts within a size.
@@ -65,7 +67,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     same = lambda a, b, *names: [a[x].eqNullSafe(b[x]) for x in names]
     starts = within.join(sizes, same(within, sizes, "source", "size")).select(within["source"], within["size"], within["salt"], (F.col("before_salt") + F.col("before_size")).alias("before"))
     placed = ranked.join(starts, same(ranked, starts, "source", "size", "salt")).select(*[ranked[k] for k in key], ranked["doc_id"], ranked["source"], ranked["size"], (F.col("at") + F.col("before")).alias("rank"))
-    out = placed.join(C.checked(sources), placed["source"].eqNullSafe(sources["source"]))
+    named = lambda df: df.withColumn("name", F.md5(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).cast("binary"))).drop("source")
+    out = C.join_groups(named(placed), named(sources), ["name"], "n", 100)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     step = lambda k: F.floor(k.cast("double") * rate + F.col("shift"))
     copies = (step(F.col("rank")) - step(F.col("rank") - 1)).cast("long")
@@ -84,7 +87,7 @@ r AS (SELECT (sum(source_size))::BIGINT - 3 * coalesce((sum(source_size) FILTER
 t AS (SELECT source, source_size, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (weight * r.rest)::DOUBLE / r.share::DOUBLE END AS target,
   ('0x' || substr(md5('mix-1:' || coalesce('s' || source, 'n')), 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift FROM f, r),
 k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, coalesce(d.doc_id % 1024, -1), d.doc_id NULLS FIRST)::DOUBLE AS rank
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, coalesce(d.doc_id % 1021, -1), d.doc_id NULLS FIRST)::DOUBLE AS rank
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rank * rate + shift) - floor((rank - 1) * rate + shift))::BIGINT * size AS taken,
   (floor(rank * rate + shift) - floor((rank - 1) * rate + shift))::BIGINT AS copies FROM k

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import common as C
 
@@ -25,6 +26,8 @@ UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-")
 HEADS = ("quality", "toxic")
+#: The level above is worth no more documents than this.
+MOST_STRENGTH = 1e6
 
 
 def shape(text: bytes, words: list[bytes]) -> list[float]:
@@ -128,18 +131,27 @@ class DocumentModel:
         return self.bias + word + self.weights[:, self.binned(self.edges, np.array(shapes))].sum(2).T
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DocumentModel | None:
-    """The document classifier, from at most ``rows`` labelled documents, chosen by a hash of their id; None if there are none.
+def chosen(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, quality, toxic) of at most ``rows`` labelled documents, chosen by a hash of their id.
 
     A document labelled more than once counts by the mean of its labels; rows without id or label are left out.
     """
-    spark = docs.sparkSession
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
         .dropna().groupBy("doc_id").agg(*[(F.avg(h) >= 0.5).cast("double").alias(h) for h in HEADS])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    known = C.materialize(known, "quality-labels")  # at most ``rows`` rows: bounded, so it is broadcast
+    known = C.materialize(known, "quality-known")
+    million, n = 1_000_000, max(1, known.count())
+    # About the number wanted passes the threshold, so no task gets more than that.
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < max(1, -(-million * rows // n)))
+    return C.materialize(near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "quality-labels")
+
+
+def fit(docs: DataFrame, known: DataFrame) -> DocumentModel | None:
+    """The document classifier, from the documents of ``chosen`` labels; None if there are none.
+
+    Of rows that repeat an id one text counts, so the task that fits reads no more texts than there are labels.
+    """
 
     def train(it):
         ys = [np.zeros((0, 2))]
@@ -156,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DocumentMod
         if first:
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(DocumentModel.fit(chain(first, rest), ys))]})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = slim.join(F.broadcast(known), "doc_id").select("text", *HEADS, "doc_id").repartition(1).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = slim.join(F.broadcast(known), "doc_id").groupBy("doc_id", *HEADS).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sample.select("text", *HEADS, "doc_id").repartition(1).sortWithinPartitions("doc_id")
     found = sample.mapInArrow(train, "model binary").collect()
     return pickle.loads(found[0][0]) if found else None
 
@@ -167,61 +180,85 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(sums: DataFrame, head: str, n: str, mean: float) -> float:
-    """How many documents the level above is worth: from the variance between groups beyond that of sampling."""
-    own = F.col(head) / F.col(n)
-    r = sums.agg(F.sum(F.col(n) * (own - mean) ** 2).alias("s"), F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(F.col(n) * F.col(n).cast("double")).alias("q")).first()
-    if not r["n"] or r["k"] < 2:
-        return 1e6
-    spread = r["n"] - r["q"] / r["n"]
-    between = (r["s"] - (r["k"] - 1) * mean * (1 - mean)) / spread if spread > 0 else 0.0
-    return float(min(1e6, max(1.0, mean * (1 - mean) / between - 1))) if between > 0 else 1e6
+def _strength(groups: DataFrame, head: str, n: str, above: Column, above_n: Column) -> float:
+    """How many documents the level above is worth to a group: from the variance of groups around the mean of the level
+    above, ``above`` of ``above_n`` documents, beyond that of sampling."""
+    own, size = F.col(head) / F.col(n), F.col(n).cast("double")
+    noise = above * (1 - above)
+    r = groups.agg(
+        F.sum(size * (own - above) ** 2).alias("s"), F.sum(noise * (1 - size / above_n)).alias("e"),
+        F.sum(size - size * size / above_n).alias("spread"), F.sum(size * noise).alias("v"), F.sum(size).alias("n"),
+    ).first()
+    if not r["n"] or not r["spread"] or r["spread"] <= 0:
+        return MOST_STRENGTH
+    between = (r["s"] - r["e"]) / r["spread"]
+    return float(min(MOST_STRENGTH, max(1.0, r["v"] / r["n"] / between - 1))) if between > 0 else MOST_STRENGTH
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS, least: float = 0.5, most_toxic: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = FIT_ROWS, least: float = 0.5, most_toxic: float = 0.5, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, quality, toxic, host_quality, path_quality, kept.
 
-    The document classifier's probabilities are summed by host (``host``) and by path (``host``, ``path``).  A host's
+    What is expected of documents is summed by host (``host``) and by path (``host``, ``path``): the document
+    classifier's probabilities, or the labels themselves where they were among those chosen for the fit.  A host's
     posterior mean shrinks towards the global mean, a path's towards its host's, by strengths estimated from the
-    spread between groups: a site of few documents says little.  The document's log odds then move by how far its
-    path's log odds are from the global ones.  kept: quality at least ``least`` and toxic under ``most_toxic``.
+    spread of hosts around the global mean and of paths around their hosts': a site of few documents says little.  The
+    document's log odds then move by how far its path's log odds are from the global ones.  kept: quality at least
+    ``least`` and toxic under ``most_toxic``.  With ``carry`` the columns of docs come first, whatever their names, and
+    of the others _quality, _toxic and _kept.
     Null text counts as empty; null hosts and paths are groups of their own; repeated rows are scored each; without
     usable labels everything has quality 1, toxic 0 and is kept; an empty table gives no rows; other columns are
     ignored.
     """
     spark = docs.sparkSession
-    model = fit(docs, labels, rows)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    known = chosen(labels, rows)
+    model = fit(docs, known)
+    kept = (F.col("quality") >= least) & (F.col("toxic") < most_toxic)
+    own, at, types = C.carried(docs, "text", carry)
+
+    def told(df: DataFrame, *columns: str) -> DataFrame:
+        if carry:
+            return df.select(*C.restored(docs), F.col("quality").alias("_quality"), F.col("toxic").alias("_toxic"), kept.alias("_kept"))
+        return df.select("doc_id", "quality", "toxic", *columns, kept.alias("kept"))
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), *own)
     if model is None:
         one = F.lit(1.0)
-        return slim.select("doc_id", one.alias("quality"), F.lit(0.0).alias("toxic"), one.alias("host_quality"), one.alias("path_quality"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # some 2000 words and their weights
+        return told(slim.withColumns({"quality": one, "toxic": F.lit(0.0), "host_quality": one, "path_quality": one}), "host_quality", "path_quality")
+    labelled = {r["doc_id"]: (r["quality"], r["toxic"]) for r in known.collect()}  # FIT_ROWS at most
+    shared = spark.sparkContext.broadcast((pickle.dumps(model), labelled))  # some 2000 words and their weights
 
     def score(it):
-        own = pickle.loads(shared.value)
-        schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("quality", pa.float64()), ("toxic", pa.float64())])
+        packed, labelled = shared.value
+        model = pickle.loads(packed)
         for b in C.batches(it):
-            z = own.logits(C.texts(b.column(3)))
+            z = model.logits(C.texts(b.column(3 + at)))
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield C.table(schema, b.column(0), b.column(1).cast(pa.string()), b.column(2).cast(pa.string()), p[:, 0], p[:, 1])
+            told = np.array([labelled.get(d, q) for d, q in zip(b.column(0).to_pylist(), p)]).reshape(-1, 2)
+            passed = [*b.columns[3:]] if carry else []
+            yield pa.RecordBatch.from_arrays([*passed, b.column(0), b.column(1), b.column(2), *map(pa.array, (p[:, 0], p[:, 1], told[:, 0], told[:, 1]))], [*(f"__c{k}" for k in range(len(passed))), "doc_id", "host", "path", "quality", "toxic", "told_quality", "told_toxic"])
 
-    scored = C.materialize(slim.mapInArrow(score, "doc_id long, host string, path string, quality double, toxic double"), "quality-scores")
-    by_path = C.materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in HEADS]), "quality-paths")
+    schema = C.fields(types if carry else T.StructType(), "doc_id long, host string, path string, quality double, toxic double, told_quality double, told_toxic double")
+    scored = C.materialize(slim.mapInArrow(score, schema), "quality-scores")
+    by_path = C.materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"told_{h}").alias(h) for h in HEADS]), "quality-paths")
     total = by_path.agg(F.sum("n").alias("n"), *[F.sum(h).alias(h) for h in HEADS]).first()
     if not total["n"]:
-        return scored.select("doc_id", "quality", "toxic", F.col("quality").alias("host_quality"), F.col("quality").alias("path_quality"), F.lit(True).alias("kept"))
+        return told(scored.withColumns({"host_quality": F.col("quality"), "path_quality": F.col("quality")}), "host_quality", "path_quality")
     mean = {h: total[h] / total["n"] for h in HEADS}
     by_host = C.materialize(by_path.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(h).alias(f"host_{h}") for h in HEADS]), "quality-hosts")
     joined = by_path.join(by_host.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
     for h in HEADS:
-        k = _strength(by_host, f"host_{h}", "host_n", mean[h])
-        k2 = _strength(by_path, h, "n", mean[h])
+        k = _strength(by_host, f"host_{h}", "host_n", F.lit(mean[h]), F.lit(float(total["n"])))
         joined = joined.withColumn(f"host_{h}", (F.col(f"host_{h}") + k * mean[h]) / (F.col("host_n") + k))
+        k2 = _strength(joined, h, "n", F.col(f"host_{h}"), F.col("host_n"))
         joined = joined.withColumn(f"path_{h}", (F.col(h) + k2 * F.col(f"host_{h}")) / (F.col("n") + k2))
-    sites = C.materialize(joined.select(F.col("host").alias("h"), F.col("path").alias("p"), *[f"{x}_{h}" for x in ("host", "path") for h in HEADS]), "quality-sites")
-    # A row per path on the right: beyond the bound AQE splits what a hot host has on the left.
-    out = scored.join(C.checked(sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    sites = C.materialize(joined.select(_site("host", "path").alias("site"), "n", *[f"{x}_{h}" for x in ("host", "path") for h in HEADS]), "quality-sites")
+    out = C.join_groups(scored.withColumn("site", _site("host", "path")), sites, ["site"], "n", 120)
     for h in HEADS:
         shift = _logit(F.col(f"path_{h}")) - _logit(F.lit(mean[h]))
         out = out.withColumn(h, 1 / (1 + F.exp(-(_logit(F.col(h)) + shift))))
-    return out.select("doc_id", "quality", "toxic", "host_quality", "path_quality", ((F.col("quality") >= least) & (F.col("toxic") < most_toxic)).alias("kept"))
+    return told(out, "host_quality", "path_quality")
+
+
+def _site(host: str, path: str) -> Column:
+    """A host and a path as one key of fixed size; null is unlike any name."""
+    return F.md5(F.to_json(F.struct(F.col(host).alias("h"), F.col(path).alias("p"))).cast("binary"))

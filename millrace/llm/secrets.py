@@ -16,18 +16,20 @@ from millrace.llm import common as C
 
 #: Labelled findings made by ``labelled_findings`` when no others are given, and the forest's size.
 FINDINGS, TREES, DEPTH, LEAST_LEAF, SEED = 6000, 40, 12, 2, 11
+#: Rows of a table of labelled findings that the forest is trained from, at most.
+LABELLED_ROWS = 20_000
 KEYS = rb"passwd|password|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?token|private[_-]?key|client[_-]?secret|credential"
 #: A key's name may end a longer one (DB_PASSWORD, --db.password); of such a run the part up to the first key that is assigned.
 RUN = rb"[A-Za-z0-9_.+/=-]"
 CANDIDATE = re.compile(
-    rb"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
+    rb"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s|\\n)++[A-Za-z0-9+/=]{16,})*+(?:(?:\s|\\n)*+(?:[A-Za-z0-9+/=]{1,80}(?:\s|\\n)*+)?-----END [A-Z ]*PRIVATE KEY-----)?)"
     rb"|(?P<cloud>\bAKIA[0-9A-Z]{16}\b)"
-    rb"|(?P<forge>\bgh[pousr]_[A-Za-z0-9]{20,255}\b)"
-    rb"|(?P<chat>\bxox[abprs]-[A-Za-z0-9-]{10,250}\b)"
-    rb"|(?P<pay>\b[srp]k_(?:live|test)_[A-Za-z0-9]{10,250}\b)"
+    rb"|(?P<forge>\bgh[pousr]_[A-Za-z0-9]{20,}\b)"
+    rb"|(?P<chat>\bxox[abprs]-[A-Za-z0-9-]{10,}\b)"
+    rb"|(?P<pay>\b[srp]k_(?:live|test)_[A-Za-z0-9]{10,}\b)"
     rb"|(?P<jwt>\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
     rb"|(?P<assigned>(?:(?<!" + RUN + rb")(?P<before>" + RUN + rb"*?)|\b)(?i:" + KEYS + rb")[\"']?\s{0,3}[=:]{1,2}\s{0,3}[\"']?(?P<value>[^\s\"'<>]{6,}))"
-    rb"|(?P<generic>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-]))"
+    rb"|(?P<generic>(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|[A-Za-z]{24,})[A-Za-z0-9+/_=-]{16,}+)"
 )
 KINDS = ("pem", "cloud", "forge", "chat", "pay", "jwt", "assigned", "generic")
 NEAR = 40
@@ -119,6 +121,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[bytes,
         lambda: "sk_live_" + pick(b64, 24), lambda: "eyJ" + pick(b64, 30) + "." + pick(b64, 60) + "." + pick(b64 + "-_", 43), lambda: "-----BEGIN " + choose("", "RSA ", "EC ", "OPENSSH ") + "PRIVATE KEY-----",
         lambda: key() + eq() + pick(hexa, k(12, 64)), lambda: key() + eq() + pick(b64, k(12, 60)), lambda: key() + eq() + pick(b64 + "!@#$%^&*", k(8, 24)),
         lambda: choose("bearer ", "Authorization: Bearer ", "aws key ", "signing ") + pick(b64 + "+/", 40), lambda: key() + eq() + pick(hexa, 18), lambda: key() + eq() + pick(hexa, 40),
+        lambda: pick(choose(low, low + up, up), k(24, 48)), lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(b64 + "+/", 64) for _ in range(k(2, 6))) + "\n-----END RSA PRIVATE KEY-----",
     )
     false = (
         lambda: choose("commit ", "sha1 ", "rev ", "revision ", "md5 ", "checksum: ", "sha256:", "etag ", "build ") + pick(hexa, choose(32, 40, 64)),
@@ -128,6 +131,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[bytes,
         lambda: word() + "_" + word() + "_" + word() + pick(dig, 2), lambda: "/".join(word() for _ in range(4)) + "/" + pick(dig, 3), lambda: word() + word() + word() + word() + pick(dig, 1),
         lambda: "data:image/png;base64," + "iVBORw0KGgo" + pick(b64 + "+/", k(30, 200)), lambda: "-".join(word() for _ in range(5)) + "-" + pick(dig, 4), lambda: "sk_test_" + choose("xxxxxxxxxxxxxxxx", "1234567890abcdef", "exampleexample12"),
         lambda: "20" + pick(dig, 2) + "-" + pick(dig, 2) + "-" + pick(dig, 2) + "_" + pick(dig, 2) + "-" + pick(dig, 2) + "_" + word(), lambda: word().capitalize() + word().capitalize() + word().capitalize() + word() + pick(dig, 2), lambda: "=" * k(16, 40) + pick(dig, 2) + "=" * k(1, 9),
+        lambda: "".join(word() for _ in range(9))[: k(24, 60)], lambda: "".join(word().capitalize() for _ in range(9)),
     )
     out = []
     while len(out) < n:
@@ -197,21 +201,37 @@ class RandomForest:
         return total / max(1, len(self.trees))
 
 
+def labelled(table: DataFrame, rows: int = LABELLED_ROWS) -> list[tuple[bytes, int, int, str, str, int]]:
+    """Findings of a table (text, start, length, kind, path, label), at most ``rows`` of them chosen by a hash.
+
+    start and length are in bytes of the UTF-8 text; rows without text, place or label are left out; a null kind is
+    generic.  Only the neighbourhood of a finding travels.
+    """
+    slim = table.select(F.col("text").cast("binary").alias("text"), F.col("start").cast("int").alias("a"), F.col("length").cast("int").alias("n"), F.coalesce("kind", F.lit("generic")).alias("kind"), F.col("path").cast("string").alias("path"), F.col("label").cast("int").alias("label"))
+    slim = slim.dropna(subset=["text", "a", "n", "label"]).where("a >= 0 and n > 0")
+    before = F.least(F.col("a"), F.lit(NEAR))
+    slim = slim.select(F.substring("text", F.col("a") - before + 1, before + F.col("n") + NEAR).alias("text"), before.alias("a"), "n", "kind", "path", "label")
+    found = slim.orderBy(F.xxhash64("text", "a", "kind", "label"), "text", "a", "kind", "label").limit(rows).collect()
+    return [(bytes(r["text"]), r["a"], min(r["a"] + r["n"], len(r["text"])), r["kind"], r["path"], int(r["label"] > 0)) for r in found]
+
+
 def train(findings: list[tuple[bytes, int, int, str, str, int]] | None = None) -> RandomForest:
+    """From findings as ``labelled`` gives them; without any, from those that rules make."""
     findings = labelled_findings() if findings is None else findings
     x = np.array([features(*f[:5]) for f in findings])
     return RandomForest.fit(x, np.array([f[5] for f in findings]))
 
 
-def scan(docs: DataFrame, forest: RandomForest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: RandomForest | None = None, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least: float = 0.5) -> DataFrame:
     """One row per candidate: doc_id, start and length in bytes of the UTF-8 text, kind, value_sha256, score, secret.
 
+    The forest is the one given, or trained from ``findings`` (``labelled``), or else from findings made by rule.
     Every whole text is searched; ``secret`` tells whether the forest takes it for one, so filtering on it removes
     false positives and nothing is lost unseen.  Null and empty texts have no candidates; a null path is an empty one;
     repeated rows give repeated findings; an empty table gives no rows; other columns are ignored.  No shuffle.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pickle.dumps(forest or train()))  # some thousand nodes, whatever the input
+    shared = spark.sparkContext.broadcast(pickle.dumps(forest or train(labelled(findings) if findings is not None else None)))  # some thousand nodes, whatever the input
 
     def run(it):
         import hashlib

@@ -7,7 +7,8 @@
 3. The spans of those windows go back to their documents.
 
 A minimiser with very many places is hot: its windows travel singly, salted by their own hash, and equal ones of a
-chunk travel once, so no bucket holds more than a row per chunk for any text however many copies it has.
+chunk travel once.  They meet in GROUPS groups first, of which each sends an equal window on once, so no bucket holds more
+than a row per GROUPS chunks, or GROUPS rows, for any text however many copies it has.
 """
 
 from __future__ import annotations
@@ -21,13 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
-from millrace.llm.wordhash import Hashes, grams, groups
+from millrace.llm.wordhash import Hashes, grams, groups, hashed
 
 WINDOW, GRAM = 35, 8
+#: Texts whose words are told apart at once.
+BATCH = 1024
+#: Groups in which equal windows of hot minimisers meet before all do.
+GROUPS = 64
 #: Places of a minimiser beyond which its windows are salted by their own hash; words looked at together.
 HOT, CHUNK_WORDS = 2000, 1_000_000
 
 
+def each_hashes(column: pa.Array, hashes: Hashes) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    h, sizes = hashed(column, hashes, False)
+    return np.split(h, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
 def minimisers(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """For each window of a text: the least gram hash in it and the leftmost place that has it."""
     g = grams(h, gram)
@@ -63,11 +74,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     def places(it):
         schema = pa.schema([("m", pa.int64()), ("k", pa.int64()), ("h", pa.int64()), ("n", pa.int32())])
         hashes = Hashes()
-        for b in C.batches(it):
+        for b in C.batches(it, BATCH):
             ks, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
             ms, rows, ns = [], [], []
-            for i, x in enumerate(C.texts(b.column(2))):
-                value, place = minimisers(hashes.of(x.split()), window, gram)
+            for i, own in enumerate(each_hashes(b.column(2), hashes)):
+                value, place = minimisers(own, window, gram)
                 if len(value):
                     new = np.r_[True, place[1:] != place[:-1]]
                     own, count = np.unique(value[new], return_counts=True)
@@ -78,12 +89,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 r = np.concatenate(rows)
                 yield C.table(schema, np.concatenate(ms).view(np.int64), ks[r], hs[r], np.concatenate(ns).astype(np.int32))
 
-    found = slim.select("k", "h", "text").mapInArrow(places, "m long, k long, h long, n int")
+    # Written: it is read to count and again to join, and finding minimisers is the dear part.
+    found = C.materialize(slim.select("k", "h", "text").mapInArrow(places, "m long, k long, h long, n int"), "substring-places")
     shared = found.groupBy("m").agg(F.sum("n").alias("places")).where("places > 1")
     own = found.select("m", "k", "h").join(shared, "m").groupBy("k", "h").agg(F.collect_set(F.struct("m", "places")).alias("shared"))
 
     def pack(it):
-        schema = pa.schema([("m", pa.int64()), ("salt", pa.int64()), ("words", pa.binary()), ("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("done", pa.int32())])
+        schema = pa.schema([("m", pa.int64()), ("salt", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("done", pa.int32())])
         hashes = Hashes()
         rows: list[tuple] = []
         seen: dict[tuple[int, bytes], list] = {}
@@ -94,8 +106,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             for (m, w), (places_, at) in seen.items():
                 salt = xxhash.xxh3_64_intdigest(w) % (places_ // hot + 1)
                 settled = len(at) > 1
-                rows.append((m, salt, w, *at[0], at[0][2] + window, int(settled)))
-                rows.extend((m, 1 + i % n, b"", *x, x[2] + window, 2) for i, x in enumerate(at) if settled)
+                rows.append((m, salt, (at[0][0] ^ at[0][1]) % GROUPS, w, *at[0], at[0][2] + window, int(settled)))
+                rows.extend((m, 1 + i % n, -1, b"", *x, x[2] + window, 2) for i, x in enumerate(at) if settled)
             seen.clear()
             if rows:
                 batch = C.table(schema, *map(list, zip(*rows)))
@@ -103,9 +115,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 yield batch
 
         for b in C.batches(it, 128):
-            for k, h, x, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.texts(b.column(2)), b.column(3).to_pylist()):
+            for k, h, x, pairs, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.texts(b.column(2)), b.column(3).to_pylist(), each_hashes(b.column(2), hashes)):
                 words = x.split()
-                value, _ = minimisers(hashes.of(words), window, gram)
+                value, _ = minimisers(own, window, gram)
                 value = value.view(np.int64)
                 many = {p["m"]: p["places"] for p in pairs}
                 ms = np.array(sorted(many), np.int64)
@@ -120,7 +132,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                         for s in range(a, z):
                             seen.setdefault((m, b" ".join(words[s : s + window])), [many[m], []])[1].append((k, h, s))
                     else:
-                        rows.append((m, 0, b" ".join(words[a : z - 1 + window]), k, h, a, z - 1 + window, 0))
+                        rows.append((m, 0, -1, b" ".join(words[a : z - 1 + window]), k, h, a, z - 1 + window, 0))
                 held += len(words)
                 if held > CHUNK_WORDS:
                     yield from out()
@@ -128,17 +140,38 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         yield from out()
 
     # The same columns as in the last join, so that both read one exchange of the texts.
-    packed = slim.join(own, ["k", "h"]).select("k", "h", "text", "shared", "doc_id").mapInArrow(pack, "m long, salt long, words binary, k long, h long, start long, stop long, done int")
-
-    def count(it):
-        schema = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-        ks, hs, starts, stops = [], [], [], []
-        for t in groups(it, 2):
-            strings, done = t.column(2).to_pylist(), t.column(7).to_pylist()
-            k, h, start, stop = (t.column(c).to_pylist() for c in (3, 4, 5, 6))
+    packed = slim.join(own, ["k", "h"]).select("k", "h", "text", "shared", "doc_id").mapInArrow(pack, "m long, salt long, part int, words binary, k long, h long, start long, stop long, done int")
+
+    def count(it, last: bool):
+        """Spans of windows that occur again; of a hot minimiser's windows, unless it is the last time, one row each to meet the others."""
+        schema = pa.schema([("m", pa.int64()), ("salt", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("done", pa.int32())])
+        ks, hs, starts, stops, on = [], [], [], [], []
+
+        def out():
+            none = [None] * len(ks)
+            yield C.table(schema, none, none, none, none, ks, hs, starts, stops, none)
+            if on:
+                yield C.table(schema, *map(list, zip(*on)))
+            for x in (ks, hs, starts, stops, on):
+                x.clear()
+
+        for t in groups(it, 2 if last else 3):
+            strings, done, part = t.column(3).to_pylist(), t.column(8).to_pylist(), t.column(2)[0].as_py()
+            k, h, start, stop = (t.column(c).to_pylist() for c in (4, 5, 6, 7))
             live = [i for i, d in enumerate(done) if d < 2]
             spans = [(i, start[i], stop[i]) for i, d in enumerate(done) if d == 2]
-            if len(live) > 1 and len({strings[i] for i in live}) == 1:
+            if part >= 0 and not last:
+                m, salt = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+                equal: dict[bytes, list[int]] = {}
+                for i in live:
+                    equal.setdefault(strings[i], []).append(i)
+                for w, own in equal.items():
+                    again = len(own) > 1 or done[own[0]] == 1
+                    spans += [(i, start[i], stop[i]) for i in own if again]
+                    i = own[0]
+                    on.append((m, salt, part, w, k[i], h[i], start[i], stop[i], int(again)))
+                spans.sort()
+            elif len(live) > 1 and len({strings[i] for i in live}) == 1:
                 spans += [(i, start[i], stop[i]) for i in live]
             elif live:
                 every = []
@@ -162,14 +195,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 hs.append(h[i])
                 starts.append(a)
                 stops.append(z)
-            if len(ks) > 20_000:
-                yield C.table(schema, ks, hs, starts, stops)
-                ks, hs, starts, stops = [], [], [], []
-        if ks:
-            yield C.table(schema, ks, hs, starts, stops)
-
+            if len(ks) + len(on) > 20_000:
+                yield from out()
+        if ks or on:
+            yield from out()
+
+    kinds = "m long, salt long, part int, words binary, k long, h long, start long, stop long, done int"
+    met = packed.repartition(n, "m", "salt", "part").sortWithinPartitions("m", "salt", "part", "words").mapInArrow(lambda it: count(it, False), kinds)
+    met = C.materialize(met, "substring-spans")
+    rest = met.where("words is not null").repartition(n, "m", "salt").sortWithinPartitions("m", "salt", "words").mapInArrow(lambda it: count(it, True), kinds)
     spans = (
-        packed.repartition(n, "m", "salt").sortWithinPartitions("m", "salt", "words").mapInArrow(count, "k long, h long, start long, stop long")
+        met.where("words is null").unionByName(rest)
         .groupBy("k", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     )
 

@@ -119,6 +119,58 @@ def read_file(path: str) -> tuple[np.ndarray, np.ndarray, DirectCodes]:
     return np.frombuffer(data, "<i8", n, 12), np.frombuffer(data, "<u8", n, 12 + 8 * n), DirectCodes.unpack(data[12 + 16 * n :])
 
 
+class TokenFile:
+    """Random access to a file of ``write_file``: any id is read with a few seeks, no block is decoded."""
+
+    def __init__(self, path: str):
+        fs, at = pafs.FileSystem.from_uri(path)
+        self.f = fs.open_input_file(at)
+        if self._read(0, 4) != MAGIC:
+            raise ValueError(f"{path} isn't a file of direct codes")
+        (self.n_docs,) = struct.unpack("<Q", self._read(4, 8))
+        at = 12 + 16 * self.n_docs
+        (count,), at = struct.unpack("<I", self._read(at, 4)), at + 4
+        self.levels: list[tuple[int, int, int, int]] = []  # ids, places of bytes, bitmap and ranks
+        for _ in range(count):
+            n, r = struct.unpack("<QQ", self._read(at, 16))
+            bitmap = at + 16 + n
+            self.levels.append((n, at + 16, bitmap, bitmap + -(-n // 8)))
+            at = bitmap + (-(-n // 8) + 4 * r if r else 0)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.f.seek(at)
+        return self.f.read(n)
+
+    def __len__(self) -> int:
+        return self.levels[0][0]
+
+    def __getitem__(self, i: int) -> int:
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        value = 0
+        for k, (_, level, bitmap, ranks) in enumerate(self.levels):
+            value |= self._read(level + i, 1)[0] << (CHUNK_BITS * k)
+            if k + 1 == len(self.levels):
+                break
+            block = i // RANK_BLOCK
+            first = block * RANK_BLOCK // 8
+            part = int.from_bytes(self._read(bitmap + first, (i >> 3) + 1 - first), "little")
+            if not part >> (i - block * RANK_BLOCK) & 1:
+                break
+            ones = part & ((1 << (i - block * RANK_BLOCK)) - 1)
+            i = struct.unpack("<I", self._read(ranks + 4 * block, 4))[0] + ones.bit_count()
+        return value
+
+    def document(self, k: int) -> tuple[int | None, range]:
+        """The id of the k-th document and where its ids are."""
+        if not 0 <= k < self.n_docs:
+            raise IndexError(k)
+        (doc_id,) = struct.unpack("<q", self._read(12 + 8 * k, 8))
+        ends = 12 + 8 * self.n_docs
+        start = struct.unpack("<Q", self._read(ends + 8 * (k - 1), 8))[0] if k else 0
+        return None if doc_id == np.iinfo(np.int64).min else doc_id, range(start, struct.unpack("<Q", self._read(ends + 8 * k, 8))[0])
+
+
 def _byte_chars() -> dict[int, str]:
     """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -130,6 +182,10 @@ BYTE_CHARS = _byte_chars()
 SYMBOLS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: What tells whether a tokenizer can be asked word by word.
+PROBES = ("a", "The  QUICK brown,fox\n\njumps\tover", " lead and trail ", "don't it's we'LL 's", "x1 22 333 4.5 1,000", "été Größe ÀÉÎ ß", "İ ΟΔΟΣ 漢字 ﬁ ½", "--- (a) [b]... #tag @x http://a.b/c?d=e", "word_word aaaaaaaa zzzzzz", "")
+
+
 class Words(dict):
     """White-space delimited bytes to their ids as little-endian uint32: this tokenizer never joins across white space.
 
@@ -143,6 +199,19 @@ class Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.whole = False
+        self.whole = not self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether words one by one give what the tokenizer gives of whole texts; if not, whole texts are encoded."""
+        for x in PROBES:
+            try:
+                if self.ids([x.encode()], b"")[0] != struct.pack(f"<{len(i := self.tokenizer.encode(x, add_special_tokens=False).ids)}I", *i):
+                    return False
+            except Exception:  # noqa: BLE001: a model that can't take such pieces doesn't agree
+                return False
+        self.clear()
+        return True
 
     def letters(self, s: str) -> bytes:
         piece = s.lower().encode().decode("latin-1").translate(BYTE_CHARS)
@@ -180,6 +249,8 @@ class Words(dict):
 
     def ids(self, texts: list[bytes], end: bytes) -> list[bytes]:
         """A batch of texts.  A-Z are lower-cased first, as the tokenizer does, but where a special token may stand."""
+        if self.whole:
+            return [struct.pack(f"<{len(e.ids)}I", *e.ids) + end for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)]
         split = [(x if b"<|" in x else x.lower()).split() for x in texts]
         self.learn(set().union(*split))
         get = self.__getitem__
@@ -193,7 +264,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
     """Writes the ids of all documents, in ascending id order, to files under ``out``; returns their manifest.
 
     Null text is written as empty: the end id only.  Null ids come first and repeated ids stand beside each other.
-    An empty table writes no files.  Other columns are ignored.  A range partition is read, encoded and written by
+    An empty table writes no files.  Any tokenizer file will do; one that can be asked word by word is.  Other columns are ignored.  A range partition is read, encoded and written by
     one task; a file's name is its attempt's own and only attempts that Spark committed are in the manifest.
     """
     spark = docs.sparkSession
@@ -227,7 +298,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
             yield flush()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = slim.repartitionByRange(C.parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    # Rows that repeat an id, or have none, spread by their texts.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = slim.repartitionByRange(C.parts(spark), *order).sortWithinPartitions(*order)
     return C.materialize(ordered.mapInArrow(encode, "part long, seq long, path string, n_docs long, n_ids long"), "token-manifest")
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from millrace.llm.common import words_of
+
 CACHE_WORDS = 500_000
 
 
@@ -24,6 +26,12 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def hashed(column, hashes: Hashes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of a column of texts, words of each text)."""
+    at, sizes, words = words_of(column, lower)
+    return hashes.of(words)[at] if len(words) else np.zeros(0, np.uint64), sizes
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that lets every bit depend on all."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
