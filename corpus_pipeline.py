@@ -10,29 +10,19 @@ from millrace.llm import decontamination, jaccard_join, mixing, quality, token_o
 from millrace.llm.common import materialize, read
 
 
-def _restrict(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids, with their own columns; a null id meets a null id.
-
-    Both sides shuffle by id: neither is known to be small.
-    """
-    named = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(named.hint("merge"), docs["doc_id"].eqNullSafe(named["__id"]), "left_semi")
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects, as poor or toxic, go.  Rows that repeat an id stand or fall together."""
-    return _restrict(docs, quality.classify(docs, read(spark, sf_dir, "labels")).where("kept"))
+    """Documents that the classifier rejects, as poor or toxic, go; of rows that repeat an id each by its own text."""
+    return quality.classify(docs, read(spark, sf_dir, "labels"), carry=True).where("_kept").drop("_quality", "_toxic", "_kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that similarity links connect, the one with the least id stays; those without shingles all stay."""
-    joined = jaccard_join.jaccard_join(docs)
-    return _restrict(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of the documents that similarity links connect one stays, of those with the least id; those without shingles all stay."""
+    return jaccard_join.jaccard_join(docs, carry=True).where("_first").drop("_first")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
-    return _restrict(docs, decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark")).where(~F.col("contaminated")))
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"), carry=True).where("not _contaminated").drop("_contaminated")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
