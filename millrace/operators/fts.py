@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.text import tokens
-from millrace.sources.shared import Files
+from millrace.sources.shared import Files, materialize
 
 K1, B = 1.2, 0.75
 TOKEN = re.compile(r'\s*(?:(?P<field>[^\s":\[\]^~]+):)?(?:"(?P<phrase>[^"]*)"?|\[(?P<low>\S+)\s+TO\s+(?P<high>[^\s\]]+)\s*\]?|(?P<word>[^\s"\[\]^~:]+))(?P<suffix>(?:\^[0-9.]+|~[0-9]*)*)', re.I)
@@ -77,8 +78,16 @@ def bm25(tf: Column, dl: Column, avgdl: Column, n: Column, df: Column, k1: float
     return F.when((df <= 0) | (n <= 0), 0.0).otherwise(idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl)))
 
 
+def _postings(places: DataFrame) -> DataFrame:
+    return places.groupBy("term", "doc_id", "field", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+
 class TextIndex:
-    """postings: (term, doc_id, field, tf, dl, positions)."""
+    """postings: (term, doc_id, field, tf, dl, positions); docs: (doc_id, field, ts, dl) where they are neither stored nor kept."""
 
     def __init__(self, docs: DataFrame, postings: DataFrame, stats: DataFrame, options: dict):
         self.docs, self.postings, self.stats, self.options = docs, postings, stats, options
@@ -91,12 +100,8 @@ class TextIndex:
         options = {"stemming": stemming, "stopwords": stopwords}
         fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c), **options).alias("ts")) for c in columns]))
         docs = df.select(F.col(key).alias("doc_id"), fields.alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
-        postings = (
-            docs.select("doc_id", "field", "dl", F.posexplode("ts").alias("pos", "term")).groupBy("term", "doc_id", "field", "dl")
-            .agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        )
-        stats = docs.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        return cls(docs, postings.persist() if persist else postings, stats, options)
+        postings = _postings(docs.select("doc_id", "field", "dl", F.posexplode("ts").alias("pos", "term")))
+        return cls(None, postings.persist(), _stats(docs), options) if persist else cls(docs, postings, _stats(docs), options)
 
     def drop(self) -> None:
         self.postings.unpersist()
@@ -131,6 +136,18 @@ class TextIndex:
     def _near(own: Column, term: str, edits: int) -> Column:
         return (F.abs(F.length(own) - len(term)) <= edits) & (F.levenshtein(own, F.lit(term), edits) >= 0)
 
+    def _of(self, wanted: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+        """Postings of the wanted terms, and statistics.
+
+        Of stored or kept postings the filter reaches the scan.  Else texts are read and tokenized once: each row's length
+        and its wanted tokens are written, and both come from those.
+        """
+        if self.docs is None:
+            return self.postings.where(wanted(F.col("term"))), self.stats
+        tokens_ = F.transform("ts", lambda t, k: F.struct(t.alias("term"), k.alias("pos")))
+        few = materialize(self.docs.select("doc_id", "field", "dl", F.filter(tokens_, lambda x: wanted(x["term"])).alias("ts")), "fts-hits")
+        return _postings(few.select("doc_id", "field", "dl", F.explode("ts").alias("t")).select("doc_id", "field", "dl", "t.term", "t.pos")), _stats(few)
+
     def _words(self, text: str) -> list[str]:
         """Query words go through the index's own tokenizer, on the driver."""
         o = self.options
@@ -141,28 +158,28 @@ class TextIndex:
     def search(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
         """(doc_id, score): one aggregate by document whatever the query; each clause is a flag in it."""
         parsed = parse(query)
-        parts: list[tuple[int, int, Column, Column]] = []
+        parts: list[tuple[int, int, Column, Callable]] = []
         sizes: dict[int, int] = {}
-        term = F.col("term")
         for i, c in enumerate(parsed.clauses):
             here = F.lit(True) if c.field is None else F.col("field") == c.field
             if c.kind == "range":
-                conds = [term.between(*c.text)]
+                conds = [lambda t, c=c: t.between(*c.text)]
             elif c.kind == "fuzzy":
-                conds = [self._near(term, w, c.edits) for w in self._words(c.text[0])[:1]]
+                conds = [lambda t, w=w, c=c: self._near(t, w, c.edits) for w in self._words(c.text[0])[:1]]
             else:
-                conds = [term == w for w in self._words(c.text[0])]
+                conds = [lambda t, w=w: t == w for w in self._words(c.text[0])]
             sizes[i] = len(conds)
             parts += [(i, j, here, x) for j, x in enumerate(conds)]
         if not parts:
             return self.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-        matched = F.filter(F.array(*[F.when(h & x, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, h, x in parts]), lambda s: s.isNotNull())
-        # Filters on terms reach the scan of stored postings.
+        term = F.col("term")
+        postings, stats = self._of(lambda t: reduce(lambda p, q: p | q, [x(t) for *_, x in parts]))
+        matched = F.filter(F.array(*[F.when(h & x(term), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, h, x in parts]), lambda s: s.isNotNull())
         places = "positions" if any(c.kind == "phrase" and sizes[i] > 1 for i, c in enumerate(parsed.clauses)) else F.lit(None).alias("positions")
-        hits = self.postings.where(reduce(lambda p, q: p | q, [x for *_, x in parts])).select("doc_id", "term", "field", "tf", "dl", places, F.explode(matched).alias("c"))
+        hits = postings.select("doc_id", "term", "field", "tf", "dl", places, F.explode(matched).alias("c"))
         df = hits.groupBy("field", "term", "c").agg(F.count("*").alias("df"))
         # Two rows per field and matched term: a few for words, the matched vocabulary for ranges; AQE chooses the join.
-        scored = hits.join(df, ["field", "term", "c"]).join(F.broadcast(self.stats), "field")
+        scored = hits.join(df, ["field", "term", "c"]).join(F.broadcast(stats), "field")
         boosts = F.element_at(F.array(*[F.lit(c.boost) for c in parsed.clauses]), F.col("c.i") + 1)
         scored = scored.withColumn("s", boosts * bm25(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl"), F.col("n").cast("double"), F.col("df").cast("double"), k1, b))
         aggs = []

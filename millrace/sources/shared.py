@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import tempfile
 import uuid
@@ -10,6 +12,8 @@ from pyspark.errors.exceptions.base import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from py4j.protocol import Py4JJavaError
 
+_scratch: set[str] = set()
+
 
 class Files:
     """Paths by the Hadoop file system of the session: local, HDFS or another with atomic renames."""
@@ -65,15 +69,28 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/") + "/millrace"
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, tag: str, kept: bool = False) -> str:
+    """A new path in the shared folder.  Unless it is to be kept, it goes with the application."""
+    if kept:
+        return f"{shared_dir(spark)}/kept/{tag}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if own not in _scratch:
+        _scratch.add(own)
+        atexit.register(_drop, Files(spark, own))
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+def _drop(files: Files) -> None:
+    """At the driver's end; if the JVM went first the folder stays, under the application's name."""
+    with contextlib.suppress(Exception):
+        files.fs.delete(files.path(), True)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
