@@ -327,4 +327,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 def token_output(docs: DataFrame, tokenizer: str, out: str | None = None, **columns) -> DataFrame:
     """Writes (``write_tokens``) and reads back (``read_tokens``)."""
-    return read_tokens(write_tokens(docs, out or C.fresh_path(docs.sparkSession, "tokens"), tokenizer, **columns))
+    return read_tokens(write_tokens(docs, out or C.fresh_path(docs.sparkSession, "tokens", True), tokenizer, **columns))
