@@ -25,10 +25,10 @@ def stem(word: Column) -> Column:
 def tokens(text: Column, stemming: bool = False, stopwords: list[str] | None = None) -> Column:
     """Array of tokens: runs of ASCII letters, digits and apostrophes, lower-cased; stop words go before stemming,
     tokens under two bytes after it.  Positions are places in the array."""
-    words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit("[a-z0-9']+"), F.lit(0))
-    words = F.transform(words, lambda w: F.substring(w, 1, LONGEST))
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    # One expression cuts words, drops short ones and what is beyond the longest: no function runs for each word.
+    least = 1 if stemming else 2
+    words = F.regexp_extract_all(lower, F.lit(f"([a-z0-9']{{{least},{LONGEST}}})[a-z0-9']*"), F.lit(1))
     if stopwords:
         words = F.filter(words, lambda w: ~w.isin(*stopwords))
-    if stemming:
-        words = F.transform(words, stem)
-    return F.filter(words, lambda w: F.length(w) >= 2)
+    return F.filter(F.transform(words, stem), lambda w: F.length(w) >= 2) if stemming else words

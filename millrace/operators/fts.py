@@ -136,7 +136,7 @@ class TextIndex:
     def _near(own: Column, term: str, edits: int) -> Column:
         return (F.abs(F.length(own) - len(term)) <= edits) & (F.levenshtein(own, F.lit(term), edits) >= 0)
 
-    def _of(self, wanted: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    def _of(self, wanted: Callable[[Column], Column], exact: list[str] | None) -> tuple[DataFrame, DataFrame]:
         """Postings of the wanted terms, and statistics.
 
         Of stored or kept postings the filter reaches the scan.  Else texts are read and tokenized once: each row's length
@@ -145,7 +145,10 @@ class TextIndex:
         if self.docs is None:
             return self.postings.where(wanted(F.col("term"))), self.stats
         tokens_ = F.transform("ts", lambda t, k: F.struct(t.alias("term"), k.alias("pos")))
-        few = materialize(self.docs.select("doc_id", "field", "dl", F.filter(tokens_, lambda x: wanted(x["term"])).alias("ts")), "fts-hits")
+        own = F.filter(tokens_, lambda x: wanted(x["term"]))
+        if exact:  # only texts that have one of the words are looked at word by word
+            own = F.when(F.arrays_overlap("ts", F.array(*map(F.lit, exact))), own)
+        few = materialize(self.docs.select("doc_id", "field", "dl", own.alias("ts")), "fts-hits")
         return _postings(few.select("doc_id", "field", "dl", F.explode("ts").alias("t")).select("doc_id", "field", "dl", "t.term", "t.pos")), _stats(few)
 
     def _words(self, text: str) -> list[str]:
@@ -173,7 +176,8 @@ class TextIndex:
         if not parts:
             return self.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
         term = F.col("term")
-        postings, stats = self._of(lambda t: reduce(lambda p, q: p | q, [x(t) for *_, x in parts]))
+        exact = sorted({w for c in parsed.clauses for w in self._words(c.text[0])}) if all(c.kind in ("term", "phrase") for c in parsed.clauses) else None
+        postings, stats = self._of(lambda t: reduce(lambda p, q: p | q, [x(t) for *_, x in parts]), exact)
         matched = F.filter(F.array(*[F.when(h & x(term), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, h, x in parts]), lambda s: s.isNotNull())
         places = "positions" if any(c.kind == "phrase" and sizes[i] > 1 for i, c in enumerate(parsed.clauses)) else F.lit(None).alias("positions")
         hits = postings.select("doc_id", "term", "field", "tf", "dl", places, F.explode(matched).alias("c"))
