@@ -109,7 +109,7 @@ class VectorIndex:
         """(qid, id, distance) for each row of queries (qid, embedding): a stated query set, in blocks, against all rows.
 
         A block of queries is a broadcast matrix; each partition multiplies and keeps its k best for each query, and
-        a window over those finds the k best of all.  The driver holds one block at a time.
+        a window over those finds the k best of all.  The driver reads queries block by block; blocks stay broadcast.
         """
         name, spark = self.metric if self.metric in METRICS else "l2", self.df.sparkSession
         sent = None

@@ -78,9 +78,9 @@ class ChangeLog:
         return n
 
     def _place(self, rows: DataFrame, folder: str) -> None:
-        """Writes rows aside and moves them, whole, to where readers look."""
+        """Writes rows aside, with a Bloom filter of their keys, and moves them, whole, to where readers look."""
         aside = f"aside/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{aside}")
+        rows.write.option("parquet.bloom.filter.enabled#" + KEY, "true").parquet(f"{self.root}/{aside}")
         if not self.files.rename(self.files.path(aside), self.files.path(folder)):
             raise EngineError(EXISTS, folder)
 
@@ -136,11 +136,7 @@ class ChangeLog:
         rows = latest(self._read(base, own), live=not waiting)
         # The list comes first: a compaction counts once its folder is there.
         self.files.write(f"base/{n:012d}.json", sorted(inside))
-        sorted_ = rows.repartitionByRange(KEY).sortWithinPartitions(KEY)
-        aside = f"aside/{uuid.uuid4().hex}"
-        sorted_.write.option("parquet.bloom.filter.enabled#" + KEY, "true").parquet(f"{self.root}/{aside}")
-        if not self.files.rename(self.files.path(aside), self.files.path(f"base/{n:012d}")):
-            raise EngineError(EXISTS, f"base/{n:012d}")
+        self._place(rows.repartitionByRange(KEY).sortWithinPartitions(KEY), f"base/{n:012d}")
 
     def vacuum(self) -> None:
         """Deletes what the newest compaction stands for: when no reader and no stream needs it any more."""
