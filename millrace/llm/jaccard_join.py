@@ -25,8 +25,6 @@ from millrace.llm.wordhash import Hashes, grams, groups, hashed
 
 #: Similar: PERCENT * union <= 100 * intersection.
 GRAM, PERCENT = 3, 70
-#: Texts whose words are told apart at once.
-BATCH = 1024
 #: Words of a chunk whose n-grams are counted before they travel; rows and n-grams of a block of the matrix.
 CHUNK_WORDS, BLOCK_ROWS, BLOCK_GRAMS = 1_000_000, 1024, 400_000
 #: N-grams in a run of the product, and the rows up to which an n-gram's pairs are counted one by one.
@@ -117,26 +115,37 @@ def product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     return left[i], right[j]
 
 
-def _classes(docs: DataFrame, own: list, at: int, types: T.StructType, id_col: str, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, row, set_key, n and the carried columns) and classes (set_key, row, n, members, first, cid)."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, gram: int, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, set_key, n, and with carry the columns of docs), written; and texts (row, text).
+
+    To carry columns rows are numbered as they are written.  Else a row's number is a hash of its id and text, so that
+    texts needn't be written: only rows that repeat both share one.
+    """
+    own, at, types = C.carried(docs, text_col, carry)
+    own = own if carry else [F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__c0")]
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own)
+    slim = slim.select("doc_id", F.lit(0).cast("long").alias("row") if carry else F.xxhash64("doc_id", "__c0").alias("row"), *types.fieldNames())
 
     def keys(it):
         hashes = Hashes()
         row = TaskContext.get().partitionId() << 40
-        for b in C.batches(it, BATCH):
-            sets = shingle_sets(b.column(1 + at), hashes, gram)
-            names = [f"__c{k}" for k in range(len(b.columns) - 1)]
+        for b in C.batches(it):
+            sets = shingle_sets(b.column(2 + at), hashes, gram)
             key = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"" for s in sets], pa.binary())
-            new = [b.column(0), pa.array(row + np.arange(len(sets))), key, pa.array([len(s) for s in sets], pa.int64())]
+            passed = b.columns[2:] if carry else []
+            new = [b.column(0), pa.array(row + np.arange(len(sets))) if carry else b.column(1), key, pa.array([len(s) for s in sets], pa.int64())]
             row += len(sets)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], [*names, "doc_id", "row", "set_key", "n"])
+            yield pa.RecordBatch.from_arrays([*passed, *new], [*(types.fieldNames() if carry else []), "doc_id", "row", "set_key", "n"])
 
-    # A row's number is its own once it is written: repeated rows are told apart, and every step reads the same ones.
-    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), *own).mapInArrow(keys, C.fields(types, "doc_id long, row long, set_key binary, n long"))
-    rows = C.materialize(numbered, "join-rows")
+    rows = C.materialize(slim.mapInArrow(keys, C.fields(types if carry else T.StructType(), "doc_id long, row long, set_key binary, n long")), "join-rows")
+    return rows, (rows.where("n > 0") if carry else slim).select("row", F.col(f"__c{at}").alias("text"))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(set_key, row, n, members, first, cid): a row for each set, of which the first row has the least id."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     classes = rows.where("n > 0").groupBy("set_key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("members"), F.min(first).alias("first"))
-    return rows, C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
+    return C.materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "join-classes")
 
 
 def _survivors(texts: DataFrame, gram: int, percent: int, buckets: int) -> DataFrame:
@@ -245,11 +254,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
     """
     n = C.parts(docs.sparkSession)
-    own, at, types = C.carried(docs, text_col, carry)
-    rows, classes = _classes(docs, own, at, types, id_col, gram)
-    alive = _survivors(rows.where("n > 0").select(f"__c{at}"), gram, percent, n)
+    rows, every = _rows(docs, id_col, text_col, gram, carry)
+    classes = _classes(rows)
+    alive = _survivors(every.select("text"), gram, percent, n)
     left = C.materialize(classes.withColumn("key", _signed_head("set_key")).join(alive, "key", "left_semi").select("row", "cid", "members"), "join-left")
-    texts = rows.select("row", F.col(f"__c{at}").alias("text")).join(C.checked(left, 24, bound), "row")
+    texts = every.join(C.checked(left, 24, bound), "row")
 
     def sets_of(it):
         schema = pa.schema([("cid", pa.int64()), ("members", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())])
@@ -259,6 +268,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield C.table(schema, b.column(1), b.column(2), [len(s) for s in sets], [s.tobytes() for s in sets])
 
     sets = C.materialize(texts.select("text", "cid", "members").mapInArrow(sets_of, "cid long, members long, n long, grams binary"), "join-sets")
+    if sets.count() > left.count():  # rows that repeat id and text stand for one class each
+        sets = C.materialize(sets.dropDuplicates(["cid"]), "join-sets")
 
     def incidence(it):
         schema = pa.schema([("g", pa.int64()), ("cid", pa.int64()), ("n", pa.int64())])

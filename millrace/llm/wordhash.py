@@ -10,7 +10,7 @@ import xxhash
 
 from millrace.llm.common import words_of
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 class Hashes(dict):
