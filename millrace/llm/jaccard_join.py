@@ -51,12 +51,10 @@ def need(n: int | np.ndarray, percent: int = PERCENT):
 
 
 def product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs (i, j) with i in left, j in right, i <> j, each once: the blocked sparse product."""
-    lo, hi = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
-    alive = 100 * lo >= percent * hi  # bounds of the sizes alone
-    alive &= left[:, None] < right[None, :] if left is right else left[:, None] != right[None, :]
-    # 100 o >= p (a + b - o)
-    wanted = -(-percent * (lo + hi) // (100 + percent))
+    """Similar pairs (i, j) with i in left, j in right, i <> j, each once: the blocked sparse product.
+
+    Left and right are the same rows or have none in common.
+    """
     own = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(own, kind="stable")
@@ -66,12 +64,42 @@ def product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     keep = np.repeat(count > 1, count)
     gram = np.repeat(np.arange(len(first)), count)[keep]
     row = row[keep]
+    remains = np.bincount(row, minlength=len(sets))
+    # A row that others of the block share r n-grams with has partners of at most r * (100 + p) / p - n: two rows of which
+    # each only takes smaller ones don't pair.  Most blocks of rows that just share passages end here.
+    strong = remains * (100 + percent) >= 2 * percent * sizes
+    if not strong[left].any() and not strong[right].any():
+        return left[:0], right[:0]
+    same, weak = left is right, left[~strong[left]]
+    found = [_pairs(sizes, len(sets), gram, row, remains, left[strong[left]], right, percent)]
+    if len(weak):
+        found.append(_pairs(sizes, len(sets), gram, row, remains, weak, right[strong[right]], percent) if not same else (left[:0], right[:0]))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    if same:  # strong rows met all rows: a pair of them twice
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        at = np.unique(i * len(sets) + j)
+        i, j = at // len(sets), at % len(sets)
+    return i, j
+
+
+def _pairs(sizes: np.ndarray, rows: int, gram: np.ndarray, row: np.ndarray, remains: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of left and right rows, from the (gram, row) incidence of n-grams that several rows have."""
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    kind = np.int32 if sizes.max() < 5_000_000 else np.int64
+    remains = remains.astype(kind)
+    a, b = sizes[left].astype(kind)[:, None], sizes[right].astype(kind)[None, :]
+    # 100 o >= p (a + b - o)
+    wanted = (percent * (a + b) + kind(99 + percent)) // kind(100 + percent)
+    alive = (100 * a >= percent * b) & (100 * b >= percent * a) & (left[:, None] != right[None, :])  # bounds of the sizes alone
+    alive &= np.minimum(remains[left][:, None], remains[right][None, :]) >= wanted
+    if not alive.any():
+        return left[:0], right[:0]
     gram = np.unique(gram, return_inverse=True)[1] if len(gram) else gram
-    total = int(gram[-1]) + 1 if len(gram) else 0
+    total = int(gram.max()) + 1 if len(gram) else 0
     overlap = np.zeros(alive.shape, np.int32)
-    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left, at_right = np.full(rows, -1), np.full(rows, -1)
     at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    remains = np.bincount(row, minlength=len(sets))
     # By runs of n-grams, the rare ones first: those of few rows add up pair by pair, the others as a dense slab.
     each = np.bincount(gram, minlength=total)
     rank = np.argsort(each, kind="stable")
@@ -95,18 +123,15 @@ def product(sizes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
             both = (x >= 0) & (y >= 0)
             overlap += np.bincount(x[both] * len(right) + y[both], minlength=overlap.size).reshape(overlap.shape).astype(np.int32)
         else:
-            rows, columns = at_left[r], at_right[r]
+            x, y = at_left[r], at_right[r]
             m = np.zeros((len(left), stop - start), np.float32)
-            m[rows[rows >= 0], g[rows >= 0]] = 1
-            if left is right:
-                w = m
-            else:
-                w = np.zeros((len(right), m.shape[1]), np.float32)
-                w[columns[columns >= 0], g[columns >= 0]] = 1
+            m[x[x >= 0], g[x >= 0]] = 1
+            w = np.zeros((len(right), m.shape[1]), np.float32)
+            w[y[y >= 0], g[y >= 0]] = 1
             i, j = np.flatnonzero(alive.any(1) & m.any(1)), np.flatnonzero(alive.any(0) & w.any(1))
             if len(i) and len(j):
                 overlap[np.ix_(i, j)] += (m[i] @ w[j].T).astype(np.int32)
-        remains -= np.bincount(r, minlength=len(sets))
+        remains -= np.bincount(r, minlength=rows).astype(kind)
         alive &= overlap + np.minimum(remains[left][:, None], remains[right][None, :]) >= wanted
         if not alive.any():
             break
