@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,8 @@ MAGIC, CHUNK_BITS, RANK_BLOCK = b"DAC1", 8, 512
 #: A file is closed after this many ids; a document is never split.
 FILE_IDS = 8_000_000
 CACHE_WORDS = 800_000
+#: Texts that are coded at once.
+BATCH = 1024
 END_ID = 1
 
 
@@ -215,15 +218,18 @@ class Words(dict):
 
     def letters(self, s: str) -> bytes:
         piece = s.lower().encode().decode("latin-1").translate(BYTE_CHARS)
-        found = self.model.tokenize(piece)
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
         hard: list[bytes] = []
         after: list[tuple[bytes, bytes, bytes]] = []
+        tokenize = self.model.tokenize
         for w in words.difference(self):
+            if w.isalpha():  # ASCII letters stand for themselves
+                self[w] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(w.lower().decode())])
+                continue
             s = w.decode("utf-8", "replace")
             core = s.rstrip(SYMBOLS)
             if core and core.isalpha() and max(core) < "\u0130":
@@ -256,6 +262,28 @@ class Words(dict):
         get = self.__getitem__
         return [b"".join(map(get, w)) + end for w in split]
 
+    def ids_of(self, column: pa.Array, end: bytes) -> list[bytes]:
+        """The same of a column of texts, null being empty: no word is an object of its own but the distinct ones."""
+        column = column.fill_null("")
+        if self.whole:
+            return self.ids(C.texts(column), end)
+        special = pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)
+        at, sizes, words = C.words_of(pc.if_else(pa.array(special), pa.scalar("", column.type), column) if special.any() else column)
+        self.learn(set(words))
+        codes = [self[w] for w in words]
+        own = np.array([len(x) // 4 for x in codes], np.int64)
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        each = own[at]
+        places = np.repeat((np.cumsum(own) - own)[at] - (np.cumsum(each) - each), each)
+        places += np.arange(len(places))
+        upto = np.r_[0, np.cumsum(each)][np.cumsum(sizes)]  # ids up to each text's end
+        data = np.insert(flat[places], upto, np.frombuffer(end, "<u4")[0]).tobytes() if end else flat[places].tobytes()
+        ends = 4 * (upto + (np.arange(1, len(upto) + 1) if end else 0))
+        out = [data[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for k in np.flatnonzero(special).tolist():
+            out[k] = self.ids([column[k].as_py().encode()], end)[0]
+        return out
+
 
 _words: dict[str, Words] = {}
 
@@ -286,8 +314,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, id_col: str = "doc_i
             return C.table(schema, [part], [seq], [path], [len(own)], [int(ends[-1])])
 
         held = 0
-        for b in C.batches(it, 256):
-            for d, x in zip(b.column(0).to_pylist(), _words[tokenizer].ids(C.texts(b.column(1)), end)):
+        for b in C.batches(it, BATCH):
+            for d, x in zip(b.column(0).to_pylist(), _words[tokenizer].ids_of(b.column(1), end)):
                 if held and held + len(x) // 4 > file_ids:
                     yield flush()
                     seq, ids, own, held = seq + 1, [], [], 0
