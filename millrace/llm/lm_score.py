@@ -1,6 +1,6 @@
 """LM scoring: a gated recurrent model in numpy with a class-factored softmax and state carried across windows.
 
-Frequent words have classes by frequency and a softmax within their class; all other words, unknown ones too, have
+Frequent words have classes by frequency, in families of classes, and a softmax within their class; all other words, unknown ones too, have
 classes by shape and their smoothed share of the class within it.  A word is frequent from a count that grows with the
 square root of the training tokens, so the model's vocabulary grows with the corpus, up to what may be broadcast.
 
@@ -46,7 +46,9 @@ WARM_TOKENS, WARM_PASSES = 400_000, 2
 RATE, LEAST = 0.3, 0.1
 #: A learner for so many square roots of the training tokens, at most: what learners send grows as the corpus does.
 LEARNER_ROOTS = 100
-#: Rows whose softmax over classes is taken at once.
+#: Parameters that all words share.
+SHARED = ("u", "wf", "wc")
+#: Rows whose softmax over families is taken at once.
 ROWS = 256
 #: Words of a block of the model.
 BLOCK = 1024
@@ -54,7 +56,7 @@ SMOOTH, SEED, END = 0.1, 5, b""
 SHAPES = 24
 #: Texts whose words are told apart at once.
 BATCH = 2048
-#: Words that a task keeps codes of.
+#: Words that a task keeps codes or counts of.
 CACHE_WORDS = 600_000
 
 
@@ -106,34 +108,54 @@ class Codes(dict):
         return self.code[at]
 
 
+def balanced(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each item, where each group starts): items by falling count in ranges of equal mass of roots.
+
+    A softmax over k groups and one within a group cost k + root.sum() ** 2 / counts.sum() / k values: the least of it.
+    """
+    if not len(counts):
+        return np.zeros(0, np.int64), np.zeros(2, np.int64)
+    root = np.sqrt(counts)
+    k = max(1, round(float(root.sum() / np.sqrt(max(1e-9, counts.sum())))))
+    mass = np.cumsum(root) / max(1e-9, root.sum())
+    group = np.maximum(0, np.minimum((mass * k - 1e-9).astype(np.int64), k - 1))
+    return group, np.searchsorted(group, np.arange(k + 1))
+
+
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, the sum of each one's rows); keys ascend."""
+    if not len(keys):
+        return keys, rows
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[cut], np.add.reduceat(rows, cut)
+
+
 class Gru:
     """Parameters and passes.  Inputs: a word's id below ``head``, head + shape, or head + SHAPES at a text's start.
 
-    Both outputs have their bias as the weight of a constant last unit.
+    A word's probability is that of its family of classes, times that of its class in it, times its own in the class; a
+    shape is a family by itself.  Every output has its bias as the weight of a constant last unit.
     """
 
     def __init__(self, counts: np.ndarray, shape_counts: np.ndarray, seed: int = SEED):
         r = np.random.default_rng(seed)
-        n, h = len(counts), HIDDEN
-        root = np.sqrt(counts)
-        mass = np.cumsum(root) / max(1e-9, root.sum())
-        # k classes of equal mass of roots cost k + root.sum() ** 2 / counts.sum() / k values a token: the least of it.
-        self.classes = k = max(1, round(float(root.sum() / np.sqrt(max(1e-9, counts.sum()))))) if n else 1
-        word_class = np.minimum((mass * k - 1e-9).astype(np.int64), k - 1) if n else np.zeros(0, np.int64)
-        # Words are by falling count and classes by mass of them, so each class is one range of words.
-        self.starts = np.searchsorted(word_class, np.arange(k + 1))
+        n, h, f = len(counts), HIDDEN, np.float32
         self.head = n
-        self.class_of = np.r_[word_class, k + np.arange(SHAPES)].astype(np.int32)
-        classes = np.r_[np.bincount(word_class, counts, k), shape_counts] + 0.5
-        f = np.float32
+        word_class, self.words = balanced(counts)
+        mass = np.bincount(word_class, counts, len(self.words) - 1)
+        class_family, self.classes = balanced(mass)
+        families = len(self.classes) - 1
+        top = np.r_[np.bincount(class_family, mass, families), shape_counts] + 0.5
+        self.class_of = word_class.astype(np.int32)
+        self.family_of = np.r_[class_family[word_class], families + np.arange(SHAPES)].astype(np.int32)
+        out = lambda bias: np.c_[np.zeros((len(bias), h)), np.log(bias)].astype(f)
         self.p = {
             "x": (r.standard_normal((n + SHAPES + 1, 3 * h)) * 0.1).astype(f),
             "u": (r.standard_normal((h, 3 * h)) / np.sqrt(h) * np.r_[np.full(2 * h, 0.5), np.ones(h)]).astype(f),
-            "wc": np.c_[np.zeros((k + SHAPES, h)), np.log(classes / classes.sum())].astype(f),
-            "ww": np.c_[np.zeros((n, h)), np.log((counts + 0.5) / np.maximum(classes[word_class], 1))].astype(f),
-        }
+            "wf": out(top / top.sum()), "wc": out((mass + 0.5) / top[class_family]), "ww": out((counts + 0.5) / (mass[word_class] + 0.5)),
+        }
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
-        self.fed = np.zeros(n + SHAPES + 1, np.float32)
+        self.fed = np.zeros(n + SHAPES + 1, f)
 
     def forward(self, fed: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool):
         """(states with the constant unit, what ``backward`` needs if it is to be kept, the last state) of fed (time, stream).
@@ -154,7 +176,7 @@ class Gru:
             b[:] = h
             if some[t]:
                 b[:, reset[t]] = 0
-            xt = np.ascontiguousarray(x[fed[t]].T)
+            xt = np.ascontiguousarray(x.take(fed[t], 0).T)
             np.dot(ut, b, out=g)
             np.add(xt[: 2 * k], g[: 2 * k], out=own)
             np.tanh(own, out=own)
@@ -208,18 +230,15 @@ class Gru:
     def output(self, hs: np.ndarray, target: np.ndarray, gw: np.ndarray | None = None, safe: bool = False):
         """Natural log probabilities of targets, which ascend; with gw, gradients of minus their sum too.
 
-        Fills gw, of "ww", and returns those of "wc" and of hs.  safe: rows are shifted by their greatest first.
+        Fills gw, of "ww", and returns those of "wf", "wc" and of hs.  safe: rows are shifted by their greatest first.
         """
-        n = len(hs)
-        cls = self.class_of[target]
-        wc, ww = self.p["wc"], self.p["ww"]
-        out = np.einsum("ij,ij->i", hs, wc[cls])
-        known = int(np.searchsorted(target, self.head))
-        inner, dh = np.ones(n, np.float32), np.empty_like(hs)
-        flip, gc = np.ascontiguousarray(wc.T), np.zeros_like(wc)
-        ones = np.ones(max(len(wc), *np.diff(self.starts)), np.float32)
-        room = np.empty((ROWS, len(wc)), np.float32)
-        for i in range(0, n, ROWS):  # as many rows at once as the cache holds
+        family, wf = self.family_of.take(target), self.p["wf"]
+        own = wf.take(family, 0)  # take is twice as fast as an index
+        out = np.einsum("ij,ij->i", hs, own)
+        dh = np.empty_like(hs) if gw is not None else None
+        flip, gf = np.ascontiguousarray(wf.T), np.zeros_like(wf)
+        ones, room = np.ones(len(wf), np.float32), np.empty((ROWS, len(wf)), np.float32)
+        for i in range(0, len(hs), ROWS):  # as many rows at once as the cache holds
             hc = hs[i : i + ROWS]
             e = np.dot(hc, flip, out=room[: len(hc)])
             if safe:
@@ -227,51 +246,62 @@ class Gru:
                 e -= top[:, None]
                 out[i : i + ROWS] -= top
             np.exp(e, out=e)
-            s = e @ ones[: len(wc)]
+            s = e @ ones
             out[i : i + ROWS] -= np.log(s)
             if gw is not None:
                 s = (1 / s)[:, None]
-                gc += e.T @ (hc * s)
-                d = np.dot(e, wc, out=dh[i : i + ROWS])
+                gf += e.T @ (hc * s)
+                d = np.dot(e, wf, out=dh[i : i + ROWS])
                 d *= s
-        cuts = np.searchsorted(cls[:known], np.arange(self.classes + 1)).tolist()
-        starts = self.starts.tolist()
-        for c in range(self.classes):
-            a, z, i, j = starts[c], starts[c + 1], cuts[c], cuts[c + 1]
+                d -= own[i : i + ROWS]
+        known = int(np.searchsorted(target, self.head))
+        rows = hs[:known], out[:known], dh[:known] if gw is not None else None
+        gc = np.zeros_like(self.p["wc"]) if gw is not None else None
+        self._within(self.p["wc"], self.classes, self.class_of.take(target[:known]), *rows, gc, safe)
+        self._within(self.p["ww"], self.words, target[:known], *rows, gw, safe)
+        if not safe and not np.isfinite(out).all():
+            return self.output(hs, target, gw, True)
+        if gw is None:
+            return out
+        # The targets' own part: sums of states by target, by class from those, and by family.
+        item, sums = _sums(target, hs)
+        words = int(np.searchsorted(item, self.head))
+        gw[item[:words]] -= sums[:words]
+        for g, groups, n in ((gc, self.class_of[item[:words]], words), (gf, self.family_of[item], len(item))):
+            own, total = _sums(groups, sums[:n])
+            g[own] -= total
+        return out, gf, gc, dh
+
+    @staticmethod
+    def _within(w: np.ndarray, starts: np.ndarray, item: np.ndarray, hs: np.ndarray, out: np.ndarray, dh: np.ndarray | None, g: np.ndarray | None, safe: bool) -> None:
+        """A softmax over each item's group: adds to out and dh, and fills g but for the items' own part.  Items ascend, so a group's rows are a slice."""
+        cuts, starts = np.searchsorted(item, starts).tolist(), starts.tolist()
+        total = np.ones(len(hs), np.float32)
+        ones = np.ones(max(1, *(z - a for a, z in zip(starts, starts[1:]))), np.float32)
+        for a, z, i, j in zip(starts, starts[1:], cuts, cuts[1:]):
             if i == j:
-                if gw is not None:
-                    gw[a:z] = 0
+                if g is not None:
+                    g[a:z] = 0
                 continue
-            hc, w = hs[i:j], ww[a:z]
-            e = hc @ w.T
+            hc, own = hs[i:j], w[a:z]
+            e = hc @ own.T
             if safe:
                 top = e.max(1)
                 e -= top[:, None]
                 out[i:j] -= top
             np.exp(e, out=e)
             s = e @ ones[: z - a]
-            inner[i:j] = s
-            if gw is not None:
+            total[i:j] = s
+            if g is not None:
                 s = (1 / s)[:, None]
-                np.dot(e.T, hc * s, out=gw[a:z])
-                e = e @ w
+                np.dot(e.T, hc * s, out=g[a:z])
+                e = e @ own
                 e *= s
                 dh[i:j] += e
-        wt = ww[target[:known]]
-        out[:known] += np.einsum("ij,ij->i", hs[:known], wt) - np.log(inner[:known])
-        if not safe and not np.isfinite(out).all():
-            return self.output(hs, target, gw, True)
-        if gw is None:
-            return out
-        dh -= wc[cls]
-        dh[:known] -= wt
-        cut = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        gc[cls[cut]] -= np.add.reduceat(hs, cut)
-        if known:
-            t = target[:known]
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            gw[t[cut]] -= np.add.reduceat(hs[:known], cut)
-        return out, gc, dh
+        its = w.take(item, 0)
+        out += np.einsum("ij,ij->i", hs, its) - np.log(total)
+        if g is not None:
+            dh -= its
 
     def run(self, texts: list[np.ndarray], rate: float | None = None) -> np.ndarray:
         """Log probability of each text (ids with the end); with a rate, learns from each window after scoring it.
@@ -311,33 +341,31 @@ class Gru:
                 # The first ``whole`` streams go on to the window's end; of the others what lies beyond theirs is left out.
                 flat = np.minimum(starts[None, :live] + np.arange(at, at + wide)[:, None], size - 1)
                 whole = int(np.searchsorted(-sizes, -(at + wide), "right"))
-                f = fed[flat]
-                hs, kept, h = self.forward(f, begins[flat], h[:, :live], rate is not None)
+                f = fed.take(flat)
+                hs, kept, h = self.forward(f, begins.take(flat), h[:, :live], rate is not None)
                 hs, flat = hs.reshape(-1, HIDDEN + 1), flat.ravel()
-                goal = target[flat]
+                goal = target.take(flat)
                 if whole == live:
                     rows = np.argsort(goal)
                 else:
                     rows = np.flatnonzero((np.arange(at, at + wide)[:, None] < sizes[None, :live]).ravel())
                     rows = rows[np.argsort(goal[rows])]
-                found = self.output(hs[rows], goal[rows], gw)
+                found = self.output(hs.take(rows, 0), goal.take(rows), gw)
                 if rate is None:
                     logs[flat[rows]] = found
                 else:
-                    out, gc, dh = found
+                    out, gf, gc, dh = found
                     logs[flat[rows]] = out
-                    every = np.zeros((len(hs), HIDDEN), np.float32)
-                    every[rows] = dh[:, :HIDDEN]
-                    dx, du = self.backward(every.reshape(wide, live, HIDDEN), kept)
+                    place = np.full(len(hs), len(rows))
+                    place[rows] = np.arange(len(rows))
+                    every = np.r_[dh, np.zeros((1, HIDDEN + 1), np.float32)] if whole < live else dh
+                    dx, du = self.backward(every.take(place, 0).reshape(wide, live, -1)[:, :, :HIDDEN], kept)
                     words = f.ravel()
-                    order_ = np.argsort(words)
-                    words = words[order_]
-                    cut = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-                    gx = np.add.reduceat(dx[order_], cut)
-                    own = words[cut]
-                    self.fed[own] += np.diff(np.r_[cut, len(words)])
+                    by = np.argsort(words)
+                    own, gx = _sums(words.take(by), dx.take(by, 0))
+                    self.fed += np.bincount(words, minlength=len(self.fed))
                     # A window of few tokens moves the model as little.
-                    self.update(np.float32(rate * min(1.0, len(rows) / (k * WINDOW))), gc, gw, own, gx, du)
+                    self.update(np.float32(rate * min(1.0, len(rows) / (k * WINDOW))), {"wf": gf, "wc": gc, "ww": gw, "u": du}, own, gx)
                 at += wide
         total = np.zeros(len(texts))
         if size:
@@ -357,10 +385,10 @@ class Gru:
         by = np.argsort(-sizes, kind="stable")
         return np.array([i for s in by.tolist() for i in streams[s]], np.int64), np.cumsum(sizes[by]) - sizes[by], sizes[by]
 
-    def update(self, rate: np.float32, gc: np.ndarray, gw: np.ndarray, fed: np.ndarray, gx: np.ndarray, du: np.ndarray) -> None:
+    def update(self, rate: np.float32, grads: dict[str, np.ndarray], fed: np.ndarray, gx: np.ndarray) -> None:
         """Adagrad; of the inputs only the rows that were fed move."""
         p, v = self.p, self.v
-        for k, g in (("wc", gc), ("ww", gw), ("u", du)):
+        for k, g in grads.items():
             for at in range(0, len(g), BLOCK):
                 own, moments, to = g[at : at + BLOCK], v[k][at : at + BLOCK], p[k][at : at + BLOCK]
                 s = own * own
@@ -370,16 +398,21 @@ class Gru:
                 np.divide(own, s, out=s)
                 s *= rate
                 to -= s
-        own = v["x"][fed] + gx * gx
+        own = v["x"].take(fed, 0)
+        own += gx * gx
         v["x"][fed] = own
-        p["x"][fed] -= rate * gx / (np.sqrt(own) + np.float32(LEAST))
+        np.sqrt(own, out=own)
+        own += np.float32(LEAST)
+        np.divide(gx, own, out=own)
+        own *= rate
+        p["x"][fed] = p["x"].take(fed, 0) - own
 
     def move(self, block: int, by: np.ndarray) -> None:
         """Adds what ``_averaged`` gives of a block."""
         if block < 0:
-            n = self.p["u"].size
-            self.p["u"] += by[:n].reshape(self.p["u"].shape)
-            self.p["wc"] += by[n:].reshape(self.p["wc"].shape)
+            for k in SHARED:
+                own, by = by[: self.p[k].size], by[self.p[k].size :]
+                self.p[k] += own.reshape(self.p[k].shape)
             return
         own = slice(block * BLOCK, (block + 1) * BLOCK)
         x, w = self.p["x"][own], self.p["ww"][own]
@@ -387,12 +420,12 @@ class Gru:
         w += by[x.size :].reshape(w.shape)
 
     def pack(self, learning: bool = True) -> bytes:
-        return pickle.dumps((self.head, self.classes, self.starts, self.class_of, self.p, self.v if learning else {}))
+        return pickle.dumps((self.head, self.words, self.classes, self.class_of, self.family_of, self.p, self.v if learning else {}))
 
     @classmethod
     def unpack(cls, data: bytes) -> Gru:
         g = cls.__new__(cls)
-        g.head, g.classes, g.starts, g.class_of, g.p, g.v = pickle.loads(data)
+        g.head, g.words, g.classes, g.class_of, g.family_of, g.p, g.v = pickle.loads(data)
         g.fed = np.zeros(len(g.p["x"]), np.float32)
         return g
 
@@ -400,7 +433,7 @@ class Gru:
 def _weighted(g: Gru, was: Gru, n: int):
     """The rows that a learner sends: (block, tokens, fed, moves): of shared parameters first, then of each block of words."""
     move = {k: (g.p[k] - was.p[k]).astype(np.float32) for k in g.p}
-    yield -1, n, b"", np.concatenate([move["u"].ravel(), move["wc"].ravel()]).tobytes()
+    yield -1, n, b"", np.concatenate([move[k].ravel() for k in SHARED]).tobytes()
     for b, at in enumerate(range(0, len(move["x"]), BLOCK)):
         own = slice(at, at + BLOCK)
         yield b, n, g.fed[own].astype("<f4").tobytes(), np.concatenate([move["x"][own].ravel(), move["ww"][own].ravel()]).astype("<f2").tobytes()
@@ -451,7 +484,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
             at, _, words = C.words_of(b.column(0))
             own.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist())))
             own[END] += b.num_rows
-            if len(own) > 400_000:
+            if len(own) > CACHE_WORDS:
                 yield out()
                 own.clear()
         if own:
@@ -589,7 +622,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
             yield C.table(schema, *(t.column(k).combine_chunks() for k in range(6)), total)
 
     own = texts.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "within", "ids").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    rare = coded.where("w is not null").select("row", "w", "shape", "n").join(counts.select("w", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = coded.where("w is not null").select("row", "w", "shape", "n").join(counts.select("w", "c").hint("shuffle_hash"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     low = F.element_at(F.array(*[F.lit(float(x)) for x in tail_low]), F.col("shape") + 1)
     share = F.log10(F.col("c") + F.lit(SMOOTH))
     sums = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k"), F.sum(F.col("n") * (share - F.lit(float(base_low)))).alias("b"), F.sum(F.col("n") * (share - low)).alias("s"))

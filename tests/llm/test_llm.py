@@ -431,7 +431,7 @@ def test_lm_very_long_text():
 def test_lm_gradients():
     """Of one window against differences."""
     r = np.random.default_rng(1)
-    g = lm_score.Gru(np.array([9.0, 7, 5, 4, 3, 2]), np.full(lm_score.SHAPES, 2.0))
+    g = lm_score.Gru(np.array([9.0, 7, 5, 4, 4, 3, 3, 3, 2, 2, 2, 2, 1, 1, 1, 1]), np.full(lm_score.SHAPES, 2.0))
     for k in g.p:
         g.p[k] = (g.p[k] + 0.3 * r.standard_normal(g.p[k].shape)).astype(np.float32)
     fed = r.integers(0, g.head + lm_score.SHAPES, (5, 3))
@@ -447,14 +447,14 @@ def test_lm_gradients():
 
     hs, kept, _ = g.forward(fed, reset, start, True)
     gw = np.zeros_like(g.p["ww"])
-    out, gc, dh = g.output(hs.reshape(15, -1)[order], target[order], gw)
+    out, gf, gc, dh = g.output(hs.reshape(15, -1)[order], target[order], gw)
     assert np.allclose(out, g.output(hs.reshape(15, -1)[order], target[order], None, True), atol=1e-4)
     every = np.zeros((15, lm_score.HIDDEN), np.float32)
     every[order] = dh[:, :-1]
     dx, du = g.backward(every.reshape(5, 3, -1), kept)
     gx = np.zeros_like(g.p["x"])
     np.add.at(gx, fed.ravel(), dx)
-    for k, grad in (("wc", gc), ("ww", gw), ("u", du), ("x", gx)):
+    for k, grad in (("wf", gf), ("wc", gc), ("ww", gw), ("u", du), ("x", gx)):
         for _ in range(25):
             at = tuple(r.integers(0, s) for s in g.p[k].shape)
             if k == "x":
