@@ -26,6 +26,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
     table = C.materialize(spread.join(before.select("part", "before"), "part").select("source", "source_size", "n", weight.alias("weight")), "mix-weights")
     total = table.agg(F.sum("source_size")).first()[0] or 0
+    # Words times weights are beyond 32 bits in a corpus of some GB, and times the weights of many sources beyond 64.
+    whole = lambda x: F.col(x).cast("decimal(19,0)")
     full = F.lit(False)
     left = share = None
     while True:
@@ -37,8 +39,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
             left, share = total - most * now["full"], now["weight"]
             break
         left, share = total - most * now["full"], now["weight"]
-        full = F.col("weight") * F.lit(left) >= F.lit(most) * F.col("source_size") * F.lit(share)
-    target = F.when(full, (F.col("source_size") * most).cast("double")).otherwise((F.col("weight") * F.lit(left)).cast("double") / F.lit(float(share or 1)))
+        full = whole("weight") * F.lit(left) >= whole("source_size") * F.lit(most) * F.lit(share)
+    target = F.when(full, (whole("source_size") * F.lit(most)).cast("double")).otherwise((whole("weight") * F.lit(left)).cast("double") / F.lit(float(share or 1)))
     shift = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return table.select("source", "source_size", "n", target.alias("target"), shift.alias("shift"))
 

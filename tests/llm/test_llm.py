@@ -117,6 +117,21 @@ def test_mixing_comes_near_targets(spark):
         assert abs(row[1] - row[0]) < 0.02 * row[0] + 60
 
 
+@pytest.mark.parametrize("sizes", [{"a": 600_000_000, "b": 300_000_000, None: 7}, {f"s{k:04}": 10**6 for k in range(3000)} | {"s0000": 10**15}])
+def test_mixing_targets_of_large_sources(spark, sizes):
+    """Words times weights are beyond 32 bits, or times all weights beyond 64."""
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sizes)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        left, share = total - sum(3 * sizes[s] for s in full), sum(w for s, w in weight.items() if s not in full)
+        new = {s for s in sizes if s not in full and weight[s] * left >= 3 * sizes[s] * share}
+        if not new:
+            break
+        full |= new
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    assert {r.source: r.target for r in got} == {s: float(3 * sizes[s]) if s in full else weight[s] * left / share for s in sizes}
+
+
 def brute_leaks(rows, items):
     pats = defaultdict(set)
     for i, t in items:
