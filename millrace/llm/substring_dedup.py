@@ -14,6 +14,7 @@ than a row per GROUPS chunks, or GROUPS rows, for any text however many copies i
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -143,25 +144,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     packed = slim.join(own, ["k", "h"]).select("k", "h", "text", "shared", "doc_id").mapInArrow(pack, "m long, salt long, part int, words binary, k long, h long, start long, stop long, done int")
 
     def count(it, last: bool):
-        """Spans of windows that occur again; of a hot minimiser's windows, unless it is the last time, one row each to meet the others."""
+        """Spans of windows that occur again, without words; of a hot minimiser's windows, unless it is the last time, one row each to meet the others."""
         schema = pa.schema([("m", pa.int64()), ("salt", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("k", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("done", pa.int32())])
-        ks, hs, starts, stops, on = [], [], [], [], []
+        ms, salts, ks, hs, starts, stops, on = [], [], [], [], [], [], []
 
         def out():
             none = [None] * len(ks)
-            yield C.table(schema, none, none, none, none, ks, hs, starts, stops, none)
+            yield C.table(schema, ms, salts, none, none, ks, hs, starts, stops, none)
             if on:
                 yield C.table(schema, *map(list, zip(*on)))
-            for x in (ks, hs, starts, stops, on):
+            for x in (ms, salts, ks, hs, starts, stops, on):
                 x.clear()
 
         for t in groups(it, 2 if last else 3):
-            strings, done, part = t.column(3).to_pylist(), t.column(8).to_pylist(), t.column(2)[0].as_py()
+            m, salt, part = (t.column(c)[0].as_py() for c in range(3))
+            strings, done = t.column(3).to_pylist(), t.column(8).to_pylist()
             k, h, start, stop = (t.column(c).to_pylist() for c in (4, 5, 6, 7))
             live = [i for i, d in enumerate(done) if d < 2]
             spans = [(i, start[i], stop[i]) for i, d in enumerate(done) if d == 2]
             if part >= 0 and not last:
-                m, salt = t.column(0)[0].as_py(), t.column(1)[0].as_py()
                 equal: dict[bytes, list[int]] = {}
                 for i in live:
                     equal.setdefault(strings[i], []).append(i)
@@ -191,6 +192,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 else:
                     merged.append([i, a, z])
             for i, a, z in merged:
+                ms.append(m)
+                salts.append(salt)
                 ks.append(k[i])
                 hs.append(h[i])
                 starts.append(a)
@@ -200,14 +203,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         if ks or on:
             yield from out()
 
+    def settle(it):
+        """Spans that were found come first and pass."""
+        for b in it:
+            if b.column(3).null_count:
+                yield b.slice(0, b.column(3).null_count)
+            if b.column(3).null_count < b.num_rows:
+                yield from count(itertools.chain([b.slice(b.column(3).null_count)], it), True)
+
     kinds = "m long, salt long, part int, words binary, k long, h long, start long, stop long, done int"
+    # One plan up to the result and nothing written in between: what packs and what removes words read one exchange of the texts.
     met = packed.repartition(n, "m", "salt", "part").sortWithinPartitions("m", "salt", "part", "words").mapInArrow(lambda it: count(it, False), kinds)
-    met = C.materialize(met, "substring-spans")
-    rest = met.where("words is not null").repartition(n, "m", "salt").sortWithinPartitions("m", "salt", "words").mapInArrow(lambda it: count(it, True), kinds)
-    spans = (
-        met.where("words is null").unionByName(rest)
-        .groupBy("k", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    )
+    # Spans keep their minimiser's place, so that they spread however many one row has.
+    rest = met.repartition(n, "m", "salt").sortWithinPartitions(F.col("words").isNotNull(), "m", "salt", "words").mapInArrow(settle, kinds)
+    spans = rest.groupBy("k", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def keep(it):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

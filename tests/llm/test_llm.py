@@ -201,6 +201,26 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_substring_dedup_shuffles_texts_once(spark):
+    r = random.Random(5)
+    words = lambda n: [f"{r.getrandbits(64):016x}" for _ in range(n)]
+    shared = words(40)
+    texts = [" ".join(words(300) + shared * (i % 10 == 0) + words(20)) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sc = spark.sparkContext
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))}
+    before = set(stages())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = substring_dedup.dedup(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((x.doc_id, x.n_removed) for x in got) == [(i, 40 * (i % 10 == 0)) for i in range(200)]
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < sum(v for k, v in stages().items() if k not in before) < 1.7 * sum(map(len, texts))
+
+
 def brute_join(rows):
     sets = []
     for _, t, *_ in rows:
