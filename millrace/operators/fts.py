@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.text import tokens
+from millrace.operators.postings import ordered
 from millrace.sources.shared import Files, materialize
 
 K1, B = 1.2, 0.75
@@ -87,10 +88,11 @@ def _stats(docs: DataFrame) -> DataFrame:
 
 
 class TextIndex:
-    """postings: (term, doc_id, field, tf, dl, positions); docs: (doc_id, field, ts, dl) where they are neither stored nor kept."""
+    """postings: (term, doc_id, field, tf, dl, positions); docs: (doc_id, field, ts, dl) where they are neither stored nor
+    kept; texts: docs where the postings come from them."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stats: DataFrame, options: dict):
-        self.docs, self.postings, self.stats, self.options = docs, postings, stats, options
+    def __init__(self, docs: DataFrame | None, postings: DataFrame, stats: DataFrame, options: dict, texts: DataFrame | None = None):
+        self.docs, self.postings, self.stats, self.options, self.texts = docs, postings, stats, options, texts
 
     @classmethod
     def build(cls, df: DataFrame, key: str, columns: list[str], stemming: bool = False, stopwords: list[str] | None = None, language: str = "english", persist: bool = False) -> TextIndex:
@@ -101,7 +103,7 @@ class TextIndex:
         fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), tokens(F.col(c), **options).alias("ts")) for c in columns]))
         docs = df.select(F.col(key).alias("doc_id"), fields.alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
         postings = _postings(docs.select("doc_id", "field", "dl", F.posexplode("ts").alias("pos", "term")))
-        return cls(None, postings.persist(), _stats(docs), options) if persist else cls(docs, postings, _stats(docs), options)
+        return cls(None, postings.persist(), _stats(docs), options, docs) if persist else cls(docs, postings, _stats(docs), options, docs)
 
     def drop(self) -> None:
         self.postings.unpersist()
@@ -109,8 +111,12 @@ class TextIndex:
     def save(self, path: str) -> TextIndex:
         """Writes postings in the order of terms, so that a search reads the row groups of its terms, and the statistics."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.option("parquet.block.size", 4 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
         self.stats.coalesce(1).write.parquet(f"{path}/stats")
+        if self.texts is None:  # stored postings, in order already
+            posts = self.postings
+        else:
+            posts = ordered(self.texts, spark.read.schema(self.stats.schema).parquet(f"{path}/stats").collect(), self.postings.schema)
+        posts.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
         Files(spark, path).write("index.json", {"options": self.options, "postings": self.postings.schema.jsonValue(), "stats": self.stats.schema.jsonValue()})
         return TextIndex.load(spark, path)
 

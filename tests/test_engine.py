@@ -8,6 +8,7 @@ from millrace import queries
 from millrace.errors import EXISTS, INVAL, NOTFOUND, EngineError, message
 from millrace.functions.embed import Embedder, _powers, _values
 from millrace.functions.text import tokens
+from millrace.operators import postings
 from millrace.operators.fts import TextIndex, parse
 from millrace.operators.hybrid import fuse
 from millrace.operators.quantize import Pq, QuantizedIndex, Sq8
@@ -322,6 +323,31 @@ def test_stored_text_index(spark, tmp_path):
         Engine(spark, path).fts_search("t", "body", "apple")
 
 
+def moved(spark) -> int:
+    """Bytes that all stages so far wrote to shuffles or spilled."""
+    stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None))
+    return sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in stages)
+
+
+def test_stored_postings_move_once(spark, tmp_path, monkeypatch):
+    """Rows (4,096 of 60 words, ids that repeat or are null) are grouped where they are, and buckets come in the order of terms."""
+    monkeypatch.setattr(postings, "BUCKET", 30_000)
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), F.floor(F.pow(F.pmod(F.xxhash64("n", k), F.lit(1000)) / 1000.0, 3) * 2000).cast("string")))
+    docs = spark.range(4096).withColumnRenamed("id", "n").select(F.when(F.col("n") % 100 > 0, F.col("n") % 3000).alias("id"), F.when(F.col("n") % 50 > 1, F.concat_ws(" ", words)).alias("a"), F.lit("w0 w0 b").alias("b"))
+    index = TextIndex.build(docs, "id", ["a", "b"])
+    want = sorted(map(str, index.postings.collect()))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = moved(spark)
+    stored = index.save(f"file://{tmp_path}/index")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert moved(spark) - before < 4 * sum(p.stat().st_size for p in tmp_path.rglob("postings/*.parquet"))
+    assert stored.postings.dtypes == index.postings.dtypes and sorted(map(str, stored.postings.collect())) == want
+    own = [r.terms for r in stored.postings.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("term").alias("terms")).orderBy("f").collect()]
+    assert len(own) > 5 and all(x == sorted(x) for x in own) and all(x[-1] <= y[0] for x, y in zip(own, own[1:]))
+    assert sorted(map(tuple, stored.search('"w0 w0" w7').collect()), key=str) == sorted(map(tuple, index.search('"w0 w0" w7').collect()), key=str)
+    assert TextIndex.build(docs.limit(0), "id", ["a"]).save(f"file://{tmp_path}/none").search("w0").count() == 0
+
+
 def test_engine_vectors(spark, tmp_path):
     path = f"file://{tmp_path}/db"
     e = Engine(spark, path)
