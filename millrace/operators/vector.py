@@ -14,6 +14,9 @@ from millrace.errors import INVAL, NOTFOUND, EngineError
 from millrace.functions.distance import METRICS, metric, vector
 from millrace.sources.shared import Files
 
+#: Rows that a block of queries is compared with at a time.
+TILE = 1024
+
 
 def sampled(df: DataFrame, rows: int, id_col: str = "id") -> DataFrame:
     """About ``rows`` rows by a hash of the id, twice as many at most; all of them if there are no more."""
@@ -27,6 +30,22 @@ def batch_of(b: pa.RecordBatch, column: int) -> np.ndarray:
     v = b.column(column)
     return v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 0))
 
+
+def _nearest(d: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k least distances, or all, in order, and their ids; of equal ones the least ids, NaN last."""
+    if d.shape[1] > k:
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero(~(d > kth))  # k of a row at least, more where the last one ties
+        order = np.lexsort((i[row, column], d[row, column], row))
+        row, column = row[order], column[order]
+        first = np.searchsorted(row, np.arange(len(d)))
+        own = (first[:, None] + np.arange(k)[None, :]).ravel()
+        row, column = row[own].reshape(-1, k), column[own].reshape(-1, k)
+        return d[row, column], i[row, column]
+    order = np.lexsort((i, d), axis=1)
+    return np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+
 def searchable(filter_: Column | Callable) -> Column:
     """A Column predicate as it is; a Python callable on ids as a vectorized function."""
     if isinstance(filter_, Column):
@@ -108,8 +127,9 @@ class VectorIndex:
     def batch_knn(self, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
         """(qid, id, distance) for each row of queries (qid, embedding): a stated query set, in blocks, against all rows.
 
-        A block of queries is a broadcast matrix; each partition multiplies and keeps its k best for each query, and
-        a window over those finds the k best of all.  The driver reads queries block by block; blocks stay broadcast.
+        A block of queries is a broadcast matrix; each partition compares it with TILE rows at a time, whatever the size of
+        Arrow's batches, and keeps its k best for each query; a window over those finds the k best of all.  The driver reads
+        queries block by block; blocks stay broadcast.
         """
         name, spark = self.metric if self.metric in METRICS else "l2", self.df.sparkSession
         sent = None
@@ -124,20 +144,18 @@ class VectorIndex:
             def run(it):
                 qids, q = shared.value
                 best_d, best_i = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
-                for b in it:
-                    own, x = b.column(0).to_numpy(), batch_of(b, 1)
-                    if not len(own):
-                        continue
+                for t in (b.slice(at, TILE) for b in it for at in range(0, b.num_rows, TILE)):
+                    own, x = t.column(0).to_numpy(), batch_of(t, 1)
                     if name == "l2":
-                        d = np.stack([((x - v) ** 2).sum(1) for v in q])
+                        d = np.empty((len(q), len(x)))
+                        for j, v in enumerate(q):
+                            d[j] = ((x - v) ** 2).sum(1)
                     elif name == "ip":
                         d = -(q @ x.T)
                     else:
                         norm = np.sqrt((q * q).sum(1)[:, None] * (x * x).sum(1)[None, :])
                         d = np.where(norm == 0, 1.0, 1 - (q @ x.T) / np.where(norm == 0, 1, norm))
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(own, d.shape)], 1)
-                    keep = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
+                    best_d, best_i = _nearest(np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(own, d.shape)], 1), k)
                 n = best_d.shape[1]
                 if n:
                     yield pa.RecordBatch.from_pydict({"qid": np.repeat(qids, n), "id": best_i.ravel(), "distance": best_d.ravel()})

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from millrace.operators import postings
 from millrace.operators.fts import TextIndex, parse
 from millrace.operators.hybrid import fuse
 from millrace.operators.quantize import Pq, QuantizedIndex, Sq8
-from millrace.operators.vector import IvfIndex, VectorIndex
+from millrace.operators.vector import IvfIndex, VectorIndex, _nearest
 from millrace.plans.predicate import cond
 from millrace.sources.engine import Engine
 from millrace.streaming.tail import follow, followed
@@ -158,6 +159,41 @@ def test_vectors(spark):
         line.search([1, 2], 0)
 
 
+def test_batch_knn_is_bounded(spark):
+    """Against 10,000 rows in one batch a block of 1,024 queries takes little more memory than against 1,000; ties go to the least ids."""
+
+    def peak(rows: int) -> int:
+        import tracemalloc
+
+        own = VectorIndex(spark.createDataFrame([(k, [float(k * 7919 % rows // 4)]) for k in range(rows)], "id long, embedding array<float>").coalesce(1))
+        plans: list = []
+        own.df = type("Seen", (), {"sparkSession": spark, "mapInArrow": lambda self, run, schema: plans.append(run) or spark.createDataFrame([], schema)})()
+        own.batch_knn(spark.range(1024).select(F.col("id").alias("qid"), F.array(F.col("id").cast("float")).alias("embedding")), 5)
+        ids = np.arange(rows)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([[float(k * 7919 % rows // 4)] for k in ids.tolist()], pa.list_(pa.float32()))], ["id", "embedding"])
+        tracemalloc.start()
+        out = pa.Table.from_batches(plans[0](iter([batch]))).to_pydict()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        values = ids * 7919 % rows // 4
+        for q in (0, 3, 100, 1023):
+            d = (values - q) ** 2.0
+            want = np.lexsort((ids, d))[:5]
+            assert out["qid"][5 * q : 5 * q + 5] == [q] * 5 and out["id"][5 * q : 5 * q + 5] == want.tolist() and out["distance"][5 * q : 5 * q + 5] == d[want].tolist()
+        return most
+
+    assert peak(10_000) < 1.5 * peak(1000)
+
+
+def test_nearest_has_nan_last():
+    nan = math.nan
+    d, i = np.array([[nan, 2.0, 1.0, 1.0], [nan, nan, nan, 0.0], [3.0, 3.0, 3.0, 3.0]]), np.array([[4, 3, 2, 1]] * 3)
+    for k in (1, 2, 3, 4, 5):
+        got_d, got_i = _nearest(d, i, k)
+        want = np.lexsort((i, d), axis=1)[:, :k]
+        assert np.array_equal(got_d, np.take_along_axis(d, want, 1), equal_nan=True) and np.array_equal(got_i, np.take_along_axis(i, want, 1))
+
+
 def test_ivf_recall(spark):
     r = np.random.default_rng(3)
     x = r.standard_normal((600, 8)).astype(np.float32)
